@@ -11,7 +11,8 @@ def padded_id(prefix: str, number: Column, width: int) -> Column:
 
 
 def money_text(amount: Column) -> Column:
-    return F.format_string("%.2f", amount)
+    """Two decimal places, halves rounded away from zero."""
+    return amount.cast("decimal(38,2)").cast("string")
 
 
 def id_with_amount(identifier: Column, amount: Column) -> Column:
