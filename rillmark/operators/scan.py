@@ -51,16 +51,24 @@ def running(points: DataFrame, keys: Sequence[str], at: str, width: int,
 
 def previous(points: DataFrame, keys: Sequence[str], at: str, value: str, name: str) -> DataFrame:
     """Add ``name``: ``value`` at the key's previous ``at``.  ``points`` come from ``running``,
-    one row per ``(keys, at)``."""
+    one row per ``(keys, at)``.
+
+    Only the first row of a stretch has to look back beyond it, at the last row of
+    the stretch before.  First and last rows get a lane of their own, two rows per
+    stretch; all others stay with their stretch.
+    """
     keys = list(keys)
-    last = points.groupBy(*keys, STRETCH).agg(F.max_by(value, at).alias("_last"))
-    carried = last.select(
-        *keys, STRETCH,
-        F.lag("_last").over(W.partitionBy(*keys).orderBy(STRETCH)).alias("_carried"))
     here = W.partitionBy(*keys, STRETCH).orderBy(at)
-    return (points.join(carried, [*keys, STRETCH])
-            .withColumn(name, F.coalesce(F.lag(value).over(here), F.col("_carried")))
-            .drop("_carried"))
+    whole = W.partitionBy(*keys, STRETCH)
+    marked = points.withColumns({
+        "_inside": F.lag(value).over(here),
+        "_first": F.col(at) == F.min(at).over(whole),
+        "_edge": (F.col(at) == F.min(at).over(whole)) | (F.col(at) == F.max(at).over(whole))})
+    lane = F.when(~F.col("_edge"), F.col(STRETCH))
+    across = W.partitionBy(*keys, "_lane").orderBy(at)
+    return (marked.withColumn("_lane", lane)
+            .withColumn(name, F.when(F.col("_first"), F.lag(value).over(across)).otherwise(F.col("_inside")))
+            .drop("_inside", "_first", "_edge", "_lane"))
 
 
 def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rillmark.functions import DAY_MS, price_of
 from rillmark.operators.definitions import Segment
-from rillmark.operators.segments import Measures, is_cart, is_purchase, is_view, members_from, viewed_category
+from rillmark.operators.segments import Measures, is_cart, is_purchase, is_view, members_from, text_literal, viewed_category
 
 AMOUNTS = T.DecimalType(38, 6)
 FACTS = T.StructType([
@@ -67,25 +67,22 @@ def trim_facts(facts: DataFrame, segments: Sequence[Segment], newest_ms: int) ->
 def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int) -> DataFrame:
     """``(segment_id, profile_id)`` as of a time not before the newest event folded in."""
     measures = Measures(segments)
-    zero = F.lit(0).cast("long")
 
-    def of(facet: str) -> Column:
-        return F.col("facet") == facet
+    def within(days: int) -> str:
+        return f"facet = 'bought_at' AND last_ms BETWEEN {as_of - days * DAY_MS}L AND {as_of}L"
 
-    def within(days: int) -> Column:
-        return of("bought_at") & F.col("last_ms").between(as_of - days * DAY_MS, as_of)
+    def total(chosen: str, value: str = "n") -> str:
+        return f"coalesce(sum(CASE WHEN {chosen} THEN {value} END), 0L)"
 
-    def total(chosen: Column, value: str = "n") -> Column:
-        return F.coalesce(F.sum(F.when(chosen, F.col(value))), zero)
+    def newest(facet: str) -> str:
+        return f"coalesce(max(CASE WHEN facet = '{facet}' THEN last_ms END), 0L)"
 
-    def newest(facet: str) -> Column:
-        return F.coalesce(F.max(F.when(of(facet), F.col("last_ms"))), zero)
-
-    rows = merge_facts(facts).groupBy("profile_id").agg(
-        total(of("seen")).alias("events_n"), total(of("bought")).alias("purchases_n"),
-        newest("seen").alias("last_event_ms"), newest("cart").alias("last_cart_ms"),
-        newest("bought").alias("last_purchase_ms"), F.count_if(of("view")).alias("categories_n"),
-        *[total(within(days)).alias(measures.buys(days)) for days in measures.count_days],
-        *[total(within(days), "amount").alias(measures.spend(days)) for days in measures.value_days],
-        *[total(of("view") & (F.col("item") == c)).alias(measures.views(c)) for c in measures.categories])
-    return members_from(rows, segments, F.lit(as_of))
+    rows = merge_facts(facts).groupBy("profile_id").agg(*map(F.expr, [
+        total("facet = 'seen'") + " AS events_n", total("facet = 'bought'") + " AS purchases_n",
+        newest("seen") + " AS last_event_ms", newest("cart") + " AS last_cart_ms",
+        newest("bought") + " AS last_purchase_ms", "count_if(facet = 'view') AS categories_n",
+        *[f"{total(within(days))} AS {measures.buys(days)}" for days in measures.count_days],
+        *[f"{total(within(days), 'amount')} AS {measures.spend(days)}" for days in measures.value_days],
+        *[total("facet = 'view' AND item = " + text_literal(c)) + f" AS {measures.views(c)}"
+          for c in measures.categories]]))
+    return members_from(rows, segments, f"{as_of}L")

@@ -127,43 +127,58 @@ class Measures:
     def views(self, category: str) -> str:
         return f"views_{self.categories.index(category)}"
 
+    @property
+    def windows(self) -> list[str]:
+        return [*map(self.buys, self.count_days), *map(self.spend, self.value_days)]
+
     @property
     def longest_days(self) -> int:
         return max([*self.count_days, *self.value_days], default=0)
 
 
-def condition(segment: Segment, measures: Measures, now: Column) -> Column:
-    """The segment's condition on a row of measures.
+def _clock_seconds(ms: str) -> str:
+    return f"(({ms} - pmod({ms}, 1000L)) div 1000)"
+
+
+def text_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def condition(segment: Segment, measures: Measures, now: str) -> str:
+    """The segment's condition on a row of measures, as SQL text.
 
     The row has ``events_n, purchases_n, last_event_ms, last_cart_ms,
-    last_purchase_ms, categories_n`` and the window and category columns.
+    last_purchase_ms, categories_n`` and the window and category columns; ``now``
+    is a literal or a column of it.  Text, because fifty conditions built call by
+    call would cost more than small queries take to run.
     """
     family = segment.family
+    idle_since = {d.CART_ABANDON: "last_cart_ms", d.CHURN_RISK: "last_event_ms"}.get(family, "last_event_ms")
+    idle = f"{_clock_seconds(now)} - {_clock_seconds(idle_since)} >= {segment.min_days * DAY_SECONDS}"
     if family == d.PURCHASE_COUNT:
-        return F.col(measures.buys(segment.window_days)) >= segment.min_count
+        return f"{measures.buys(segment.window_days)} >= {segment.min_count}"
     if family == d.PURCHASE_VALUE:
-        return F.col(measures.spend(segment.window_days)) >= _amount(segment.min_value)
+        return f"{measures.spend(segment.window_days)} >= CAST('{segment.min_value!r}' AS {AMOUNT_TYPE})"
     if family == d.CART_ABANDON:
-        idle = clock_seconds_between(F.col("last_cart_ms"), now) >= segment.min_days * DAY_SECONDS
-        return (F.col("last_cart_ms") > F.col("last_purchase_ms")) & idle
+        return f"last_cart_ms > last_purchase_ms AND {idle}"
     if family == d.CATEGORY_VIEWS:
-        return F.col(measures.views(segment.category)) >= segment.min_count
+        return f"{measures.views(segment.category)} >= {segment.min_count}"
     if family == d.RECENTLY_ACTIVE:
-        return F.col("last_event_ms") >= now - segment.min_hours * HOUR_MS
+        return f"last_event_ms >= {now} - {segment.min_hours * HOUR_MS}L"
     if family == d.NEVER_PURCHASED:
-        return (F.col("events_n") > 0) & (F.col("purchases_n") == 0)
+        return "events_n > 0 AND purchases_n = 0"
     if family == d.CHURN_RISK:
-        idle = clock_seconds_between(F.col("last_event_ms"), now) >= segment.min_days * DAY_SECONDS
-        return (F.col("purchases_n") >= 1) & idle
+        return f"purchases_n >= 1 AND {idle}"
     if family == d.MULTI_CATEGORY:
-        return F.col("categories_n") >= segment.min_distinct
+        return f"categories_n >= {segment.min_distinct}"
     raise ValueError(f"unknown segment family {family!r}")
 
 
-def held_segments(segments: Sequence[Segment], measures: Measures, now: Column) -> Column:
-    """Array of the ids of the segments a row of measures belongs to."""
-    return F.array_compact(F.array(*[
-        F.when(condition(s, measures, now), F.lit(s.id)) for s in segments]))
+def candidate_segments(segments: Sequence[Segment], measures: Measures, now: str) -> str:
+    """SQL array with the id of each segment a row of measures belongs to, NULL for the others."""
+    cases = [f"CASE WHEN {condition(s, measures, now)} THEN {text_literal(s.id)} END" for s in segments]
+    return f"array({', '.join(cases)})"
 
 
 def profile_measures(events: DataFrame, segments: Sequence[Segment], as_of: int,
@@ -175,34 +190,32 @@ def profile_measures(events: DataFrame, segments: Sequence[Segment], as_of: int,
     shuffle carries only a few rows per profile.
     """
     measures = Measures(segments)
-    price = price_of(F.col("attributes"))
-    rows = _until(events, as_of).withColumn("_category", viewed_category(F.col("attributes")))
-    zero = F.lit(0).cast("long")
-
-    def within(days: int) -> Column:
-        return is_purchase() & (F.col("timestamp_ms") >= as_of - days * DAY_MS)
-
-    fine = rows.groupBy("profile_id", "_category").agg(
-        F.count(F.lit(1)).alias("events_n"),
-        F.count_if(is_purchase()).alias("purchases_n"),
-        F.max("timestamp_ms").alias("last_event_ms"),
-        F.max(F.when(is_cart(), F.col("timestamp_ms"))).alias("last_cart_ms"),
-        F.max(F.when(is_purchase(), F.col("timestamp_ms"))).alias("last_purchase_ms"),
-        *[F.count_if(within(days)).alias(measures.buys(days)) for days in measures.count_days],
-        *[F.sum(F.when(within(days), price)).alias(measures.spend(days)) for days in measures.value_days])
-    category = F.col("_category")
-    is_category = category.isNotNull() & (category != "") if ignore_missing else category.isNotNull()
-    return fine.groupBy("profile_id").agg(
-        F.sum("events_n").alias("events_n"),
-        F.sum("purchases_n").alias("purchases_n"),
-        F.max("last_event_ms").alias("last_event_ms"),
-        F.coalesce(F.max("last_cart_ms"), zero).alias("last_cart_ms"),
-        F.coalesce(F.max("last_purchase_ms"), zero).alias("last_purchase_ms"),
-        F.count_if(is_category).alias("categories_n"),
-        *[F.sum(measures.buys(days)).alias(measures.buys(days)) for days in measures.count_days],
-        *[F.sum(measures.spend(days)).alias(measures.spend(days)) for days in measures.value_days],
-        *[F.coalesce(F.sum(F.when(category == c, F.col("events_n"))), zero).alias(measures.views(c))
-          for c in measures.categories])
+    rows = _until(events, as_of).select(
+        "profile_id", "event_type", "timestamp_ms", viewed_category(F.col("attributes")).alias("_category"),
+        F.when(is_purchase(), price_of(F.col("attributes"))).alias("_price"))
+
+    def since(days: int) -> str:
+        return f"event_type = 'purchase' AND timestamp_ms >= {as_of - days * DAY_MS}L"
+
+    fine = rows.groupBy("profile_id", "_category").agg(*map(F.expr, [
+        "count(1) AS events_n",
+        "count_if(event_type = 'purchase') AS purchases_n",
+        "max(timestamp_ms) AS last_event_ms",
+        "max(CASE WHEN event_type = 'add_to_cart' THEN timestamp_ms END) AS last_cart_ms",
+        "max(CASE WHEN event_type = 'purchase' THEN timestamp_ms END) AS last_purchase_ms",
+        *[f"count_if({since(days)}) AS {measures.buys(days)}" for days in measures.count_days],
+        *[f"sum(CASE WHEN {since(days)} THEN _price END) AS {measures.spend(days)}" for days in measures.value_days]]))
+    is_category = "_category != ''" if ignore_missing else "_category IS NOT NULL"
+    return fine.groupBy("profile_id").agg(*map(F.expr, [
+        "sum(events_n) AS events_n",
+        "sum(purchases_n) AS purchases_n",
+        "max(last_event_ms) AS last_event_ms",
+        "coalesce(max(last_cart_ms), 0L) AS last_cart_ms",
+        "coalesce(max(last_purchase_ms), 0L) AS last_purchase_ms",
+        f"count_if({is_category}) AS categories_n",
+        *[f"sum({name}) AS {name}" for name in measures.windows],
+        *[f"coalesce(sum(CASE WHEN _category = {text_literal(c)} THEN events_n END), 0L) AS {measures.views(c)}"
+          for c in measures.categories]]))
 
 
 def evaluate_segments(events: DataFrame, segments: Sequence[Segment], as_of: int,
@@ -212,12 +225,13 @@ def evaluate_segments(events: DataFrame, segments: Sequence[Segment], as_of: int
     The definitions become columns of one projection, so there is no cross join.
     """
     rows = profile_measures(events, segments, as_of, ignore_missing)
-    return members_from(rows, segments, F.lit(as_of))
+    return members_from(rows, segments, f"{as_of}L")
 
 
-def members_from(rows: DataFrame, segments: Sequence[Segment], now: Column) -> DataFrame:
-    held = held_segments(segments, Measures(segments), now)
-    return rows.select(F.explode(held).alias("segment_id"), "profile_id")
+def members_from(rows: DataFrame, segments: Sequence[Segment], now: str) -> DataFrame:
+    """One row per profile and segment that holds; all of it in generated code."""
+    candidates = candidate_segments(segments, Measures(segments), now)
+    return rows.select(F.expr(f"explode({candidates}) AS segment_id"), "profile_id").where("segment_id IS NOT NULL")
 
 
 def segment_sizes(membership: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rillmark.functions import DAY_MS, HOUR_MS, price_of
 from rillmark.operators.definitions import Segment
 from rillmark.operators.scan import STRETCH, positions, previous, running
-from rillmark.operators.segments import Measures, held_segments, is_cart, is_purchase, viewed_category
+from rillmark.operators.segments import Measures, candidate_segments, is_cart, is_purchase, viewed_category
 
 SUM_TYPE = "decimal(38,6)"
 
@@ -119,7 +119,7 @@ def membership_timeline(events: DataFrame, segments: Sequence[Segment], stretch_
         F.col("run_new_categories").alias("categories_n"),
         *[F.col(f"run_{name}").alias(name) for name in [*views, *windows]])
     held = named.select("profile_id", "event_id", "at", STRETCH,
-                        held_segments(segments, measures, F.col("at")).alias("_now"))
+                        F.array_compact(F.expr(candidate_segments(segments, measures, "at"))).alias("_now"))
     compared = previous(held, ["profile_id"], "at", "_now", "_before")
     nothing = F.array().cast("array<string>")
     before = F.coalesce(F.col("_before"), nothing)

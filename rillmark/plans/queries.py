@@ -31,11 +31,6 @@ from rillmark.streaming.store import append_event_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
-
 REGISTERED: dict[str, Query] = {}
 
 
@@ -57,7 +52,7 @@ def _webhooks(spark, sf_dir):
 
 
 def _event_source(sf_dir: str) -> dict:
-    return parquet_topic(sf_dir, EVENTS, pathGlobFilter="events.parquet")
+    return parquet_topic(sf_dir, samples.EVENTS, pathGlobFilter="events.parquet")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +98,7 @@ def topic_stream(spark, sf_dir):
 
 @register
 def decode_records(spark, sf_dir, _decode=decode_records):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    events = samples.events(spark, sf_dir).select("event_id", "props")
     payloads = F.when(F.col("event_id") % 50 == 0, F.array(F.col("props"), F.lit("{"))).otherwise(F.array("props"))
     received = events.select("event_id", F.explode(payloads).alias("payload"))
     schema = T.StructType([T.StructField("k", T.LongType())])

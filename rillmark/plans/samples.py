@@ -8,19 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 JANUARY_END_MS = 1_706_745_600_000
 JANUARY_START_MS = 1_704_067_200_000
 
 
+EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return project_base(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return project_base(events(spark, sf_dir))
 
 
-def project_base(events: DataFrame) -> DataFrame:
+def project_base(rows: DataFrame) -> DataFrame:
     """Add the number in ``props`` as ``k`` and the event time as ``ms``."""
-    return events.select(
+    return rows.select(
         F.col("event_id").alias("n"), "user_id", "event_type", "value", "props",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),

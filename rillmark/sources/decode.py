@@ -19,9 +19,12 @@ _CORRUPT = "_corrupt"
 
 
 def _parsed(df: DataFrame, payload: str, schema: T.StructType) -> DataFrame:
+    """Add ``_record``.  Exploding a one-element array keeps the optimizer from pushing
+    the parse into every use of a field, so each payload is parsed once."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return df.withColumn("_record", F.from_json(F.col(payload).cast("string"), with_corrupt, options))
+    record = F.from_json(F.col(payload).cast("string"), with_corrupt, options)
+    return df.select("*", F.explode(F.array(record)).alias("_record"))
 
 
 def _is_bad() -> Column:
