@@ -19,7 +19,8 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], horizon: str = "1 day",
     """First arrival of each key; a repeat is recognised for ``horizon`` of event time.
 
     Choose the horizon no shorter than the longest retry delay: records older than
-    it, counted from the newest seen, are dropped and show in ``late_rows``.
+    it, counted from the newest seen, are dropped and show in ``late_rows``.  The
+    watermark starts at 1970, so times up to then count as late too.
     """
     timed = stream.withColumn("_event_time", F.timestamp_millis(F.col(time_ms)))
     return (timed.withWatermark("_event_time", horizon)

@@ -35,13 +35,14 @@ def _changes_path(path: str) -> str:
     return f"{path}/membership"
 
 
-def fold_batch(batch: DataFrame, batch_id: int, segments: Sequence[Segment], path: str,
+def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: Sequence[Segment], path: str,
                shards: int = DEFAULT_SHARDS) -> None:
     """Add one micro-batch and write the membership changes of the profiles in it.
 
-    They are decided as of the newest event in the batch.
+    They are decided as of the newest event in the batch.  ``spark`` is the session
+    the stream was built in: the session of a micro-batch runs without adaptive
+    execution, which the joins on the logs should have.
     """
-    spark = batch.sparkSession
     append_batch(facts_of(batch, shards), _facts_path(path), batch_id, "shard")
     fresh = read_log(spark, _facts_path(path), FACTS).where(F.col("batch_id") == batch_id)
     newest = fresh.agg(F.max("last_ms")).first()[0]
@@ -58,7 +59,8 @@ def fold_batch(batch: DataFrame, batch_id: int, segments: Sequence[Segment], pat
 
 def incremental_segments(events: DataFrame, segments: Sequence[Segment], path: str, checkpoint: str,
                          trigger: dict | None = None, shards: int = DEFAULT_SHARDS) -> StreamingQuery:
-    return each_batch(events, lambda batch, batch_id: fold_batch(batch, batch_id, segments, path, shards),
+    spark = events.sparkSession
+    return each_batch(events, lambda batch, batch_id: fold_batch(spark, batch, batch_id, segments, path, shards),
                       checkpoint, trigger)
 
 
@@ -83,6 +85,8 @@ def finalize_segments(spark: SparkSession, path: str, segments: Sequence[Segment
         raise ValueError(f"facts already hold events up to {newest}, later than {as_of}")
     after = members_from_facts(read_log(spark, _facts_path(path), FACTS), segments, as_of)
     last = read_log(spark, _changes_path(path), CHANGES).agg(F.max("batch_id")).first()[0]
+    if last is not None and (last + 1) % _STEP == 0:
+        raise RuntimeError("too many final passes between two micro-batches")
     delta = membership_delta(current_segments(spark, path), after)
     write_membership(delta, _changes_path(path), 1 if last is None else last + 1)
     return current_segments(spark, path)
