@@ -34,6 +34,11 @@ def clock_seconds_between(start_ms: Column, end_ms: Column) -> Column:
     return end - start
 
 
+def utc_date(ms: Column) -> Column:
+    days = F.call_function("div", floor_ms(ms, DAY_MS), F.lit(DAY_MS).cast("long"))
+    return F.date_from_unix_date(days.cast("int"))
+
+
 def timestamp_text(ms: Column) -> Column:
     """``2024-01-31 23:59:59.123``, in the session time zone."""
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.functions import event_time
+from rillmark.functions import utc_date
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str,
@@ -27,8 +27,5 @@ def truncate_table(spark: SparkSession, name: str) -> None:
 
 
 def event_store_rows(df: DataFrame) -> DataFrame:
-    """Rows of an event store, with the ``event_date`` it is partitioned by.
-
-    Queries bounded in time read only the dates they need.
-    """
-    return df.withColumn("event_date", F.to_date(event_time(F.col("timestamp_ms"))))
+    """Rows of an event store, with the UTC ``event_date`` it is partitioned by."""
+    return df.withColumn("event_date", utc_date(F.col("timestamp_ms")))

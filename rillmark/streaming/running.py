@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -69,11 +70,12 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def source_lag(query: StreamingQuery) -> dict[str, int]:
-    """Unread records per topic partition, from the last progress report of a Kafka source."""
-    import json
+    """Unread records per topic partition, from the last progress report; empty without Kafka sources."""
     progress = query.lastProgress
     lag: dict[str, int] = {}
     for source in progress.sources if progress else []:
+        if not source.description.startswith("Kafka"):
+            continue
         latest, done = json.loads(source.latestOffset or "{}"), json.loads(source.endOffset or "{}")
         for topic, partitions in latest.items():
             for partition, last in partitions.items():

@@ -13,8 +13,9 @@ def one(spark, **columns):
 def test_time(spark):
     ms = F.lit(1_704_067_259_999).cast("long")
     got = one(spark, minute=fn.minute_floor(ms).cast("string"), text=fn.timestamp_text(ms),
-              floor=fn.floor_ms(F.lit(-1).cast("long"), 1000))
-    assert got == {"minute": "2024-01-01 00:00:00", "text": "2024-01-01 00:00:59.999", "floor": -1000}
+              floor=fn.floor_ms(F.lit(-1).cast("long"), 1000), day=fn.utc_date(F.lit(-1).cast("long")).cast("string"))
+    assert got == {"minute": "2024-01-01 00:00:00", "text": "2024-01-01 00:00:59.999", "floor": -1000,
+                   "day": "1969-12-31"}
 
 
 def test_clock_seconds_ignore_the_fraction(spark):
