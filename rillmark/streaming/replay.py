@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rillmark.session import child_names, path_exists
 from rillmark.streaming.running import each_batch
 
-# A sink takes the rows and a name that is stable across retries.  It raises if
+# A sink takes the rows and a name that belongs to these rows across retries.  It raises if
 # nothing counts as delivered, or returns the rows it could not deliver, or None.
 Sink = Callable[[DataFrame, str], "DataFrame | None"]
 
@@ -31,6 +31,11 @@ def _offer(rows: DataFrame, name: str, sink: Sink) -> DataFrame | None:
     return None if failed is None or failed.isEmpty() else failed
 
 
+def _remainder(name: str, failed: DataFrame, offered: DataFrame) -> str:
+    """A part of the rows is another parcel, so a sink that writes by name keeps what it took."""
+    return name if failed is offered else f"{name}.r"
+
+
 def _keep(rows: DataFrame, path: str, name: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/open/{_PARCEL}{name}")
 
@@ -48,7 +53,7 @@ def deliver_with_replay(stream: DataFrame, sink: Sink, undelivered_path: str, ch
         name = f"{batch_id:012d}"
         failed = _offer(batch, name, sink)
         if failed is not None:
-            _keep(failed, undelivered_path, name)
+            _keep(failed, undelivered_path, _remainder(name, failed, batch))
 
     return each_batch(stream, deliver, checkpoint, trigger)
 
@@ -78,7 +83,7 @@ def replay_undelivered(spark: SparkSession, path: str, schema: T.StructType, sin
         if failed is rows:
             continue
         if failed is not None:
-            _keep(failed, path, f"{name}.r")
+            _keep(failed, path, _remainder(name, failed, rows))
         _close(spark, path, name)
     return len(open_parcels(spark, path))
 
