@@ -32,18 +32,17 @@ def floor_rank_percentiles(rows: DataFrame, value: str, shares: Mapping[str, flo
     """
     histogram = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("_value")).agg(
         F.count(F.lit(1)).alias("_rows"))
-    ranked = running(histogram, [], "_value", stretch, sums=["_rows"])
-    total = histogram.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_n")).scalar()
+    ranked = running(histogram, [], "_value", stretch, sums=["_rows"], whole=["_rows"])
     zero = F.lit(0).cast("long")
 
     def at(share: float):
-        rank = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(share)) * F.col("_n")))
+        rank = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(share)) * F.col("all__rows")))
         return F.coalesce(F.min(F.when(F.col("run__rows") >= rank, F.col("_value"))), zero)
 
-    return ranked.withColumn("_n", total).agg(
+    return ranked.agg(
         *[at(share).alias(name) for name, share in shares.items()],
         F.coalesce(F.min("_value"), zero).alias(low), F.coalesce(F.max("_value"), zero).alias(high),
-        F.coalesce(F.max("_n"), zero).alias("n"))
+        F.coalesce(F.max("all__rows"), zero).alias("n"))
 
 
 def approximate_percentiles(rows: DataFrame, value: str, shares: Mapping[str, float]) -> DataFrame:

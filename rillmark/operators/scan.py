@@ -25,8 +25,9 @@ def stretch_of(at: str, width: int) -> Column:
 
 
 def running(points: DataFrame, keys: Sequence[str], at: str, width: int,
-            sums: Sequence[str] = (), highs: Sequence[str] = ()) -> DataFrame:
-    """Add ``run_<c>``: the sum (or maximum) of ``c`` over the key's rows up to this ``at``.
+            sums: Sequence[str] = (), highs: Sequence[str] = (), whole: Sequence[str] = ()) -> DataFrame:
+    """Add ``run_<c>``: the sum (or maximum) of ``c`` over the key's rows up to this ``at``,
+    and for the sums listed in ``whole`` also ``all_<c>``, the sum over all the key's rows.
 
     Rows with equal ``at`` see each other.  Rows must already be combined per
     ``(keys, at)`` up to a fixed factor, so a stretch holds at most ``width``
@@ -40,13 +41,15 @@ def running(points: DataFrame, keys: Sequence[str], at: str, width: int,
     carried = totals.select(
         *keys, STRETCH,
         *[F.sum(f"_total_{c}").over(before).alias(f"_before_{c}") for c in sums],
-        *[F.max(f"_total_{c}").over(before).alias(f"_before_{c}") for c in highs])
+        *[F.max(f"_total_{c}").over(before).alias(f"_before_{c}") for c in highs],
+        *[F.sum(f"_total_{c}").over(W.partitionBy(*keys)).alias(f"all_{c}") for c in whole])
     joined = cut.join(carried, [*keys, STRETCH])
     here = W.partitionBy(*keys, STRETCH).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     return joined.select(
         *points.columns, STRETCH,
         *[(F.sum(c).over(here) + F.coalesce(F.col(f"_before_{c}"), F.lit(0))).alias(f"run_{c}") for c in sums],
-        *[F.greatest(F.max(c).over(here), F.col(f"_before_{c}")).alias(f"run_{c}") for c in highs])
+        *[F.greatest(F.max(c).over(here), F.col(f"_before_{c}")).alias(f"run_{c}") for c in highs],
+        *[f"all_{c}" for c in whole])
 
 
 def previous(points: DataFrame, keys: Sequence[str], at: str, value: str, name: str) -> DataFrame:

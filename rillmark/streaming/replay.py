@@ -55,7 +55,7 @@ def deliver_with_replay(stream: DataFrame, sink: Sink, undelivered_path: str, ch
         if failed is not None:
             _keep(failed, undelivered_path, _remainder(name, failed, batch))
 
-    return each_batch(stream, deliver, checkpoint, trigger)
+    return each_batch(stream, deliver, checkpoint, trigger, keep=True)
 
 
 def open_parcels(spark: SparkSession, path: str) -> list[str]:

@@ -30,12 +30,12 @@ def rocksdb_state(spark: SparkSession):
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-               trigger: dict | None = None) -> StreamingQuery:
+               trigger: dict | None = None, keep: bool = False) -> StreamingQuery:
     """Run ``handle(batch, batch_id)`` on each micro-batch.
 
     A micro-batch that failed comes again with the same id, so handlers write
-    under that id.  The batch is kept while it is handled, since handlers read it
-    more than once.
+    under that id.  ``keep`` holds the batch for handlers that read it more than
+    once; those that write it once should not pay for that.
     """
     def kept(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -44,7 +44,7 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
         finally:
             batch.unpersist()
 
-    return (stream.writeStream.foreachBatch(kept).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(kept if keep else handle).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or DRAIN)).start())
 
 

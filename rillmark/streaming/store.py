@@ -24,4 +24,4 @@ def publish_stream(stream: DataFrame, key: str, target: dict, checkpoint: str, o
             here = {**target, "path": f"{target['path']}/batch_id={batch_id}", "mode": "overwrite"}
         write_keyed(batch, key, here, order, partitions)
 
-    return each_batch(stream, publish, checkpoint, trigger)
+    return each_batch(stream, publish, checkpoint, trigger, keep=True)
