@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillmark.functions import MINUTE_MS, event_time, floor_ms, ratio
+from rillmark.operators.ranges import between
 from rillmark.operators.scan import positions
 
 
@@ -49,7 +50,7 @@ def window_start(start_ms: int) -> int:
 
 def dashboard_raw(webhooks: DataFrame, start_ms: int) -> DataFrame:
     """Distinct webhooks per minute, channel and status since ``start_ms``, from the raw log."""
-    recent = webhooks.where(F.col("timestamp_ms") >= window_start(start_ms))
+    recent = between(webhooks, window_start(start_ms))
     counts = _per_minute(recent, F.count_distinct("webhook_id").alias("distinct_count"))
     return (counts.select("minute", "channel", "status", "distinct_count")
             .orderBy("minute", "channel", "status"))

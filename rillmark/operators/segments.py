@@ -16,6 +16,7 @@ from rillmark.functions import DAY_MS, HOUR_MS, attribute, clock_seconds_between
 from rillmark.functions.attributes import AMOUNT_TYPE
 from rillmark.operators import definitions as d
 from rillmark.operators.definitions import Segment
+from rillmark.operators.ranges import between
 
 DAY_SECONDS = 86_400
 
@@ -33,11 +34,11 @@ def is_view() -> Column:
 
 
 def _until(events: DataFrame, as_of: int) -> DataFrame:
-    return events.where(F.col("timestamp_ms") <= as_of)
+    return between(events, high_ms=as_of)
 
 
 def _purchases(events: DataFrame, as_of: int, window_days: int) -> DataFrame:
-    return _until(events, as_of).where(is_purchase() & (F.col("timestamp_ms") >= as_of - window_days * DAY_MS))
+    return between(events, as_of - window_days * DAY_MS, as_of).where(is_purchase())
 
 
 def viewed_category(attributes: Column) -> Column:
@@ -71,7 +72,7 @@ def segment_category_views(events: DataFrame, as_of: int, category: str, min_cou
 
 
 def segment_recently_active(events: DataFrame, as_of: int, min_hours: int) -> DataFrame:
-    recent = _until(events, as_of).where(F.col("timestamp_ms") >= as_of - min_hours * HOUR_MS)
+    recent = between(events, as_of - min_hours * HOUR_MS, as_of)
     return recent.select("profile_id").distinct()
 
 

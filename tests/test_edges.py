@@ -5,6 +5,7 @@ from helpers import column, readings
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.operators.ranges import between
 from rillmark.operators.reconcile import lost_records
 from rillmark.schemas import DELIVERY_WEBHOOK, READING
 from rillmark.sinks import ensure_table, read_keyed, truncate_table, write_keyed
@@ -98,6 +99,11 @@ def test_event_store_is_partitioned_by_date(spark, path):
     finish(append_event_store(stream, f"{path}/out", f"{path}/check"))
     stored = spark.read.parquet(f"{path}/out")
     assert stored.select("event_date").distinct().count() == 3 and stored.count() == 4
+    low = 1_700_000_000_000 + 50_000_000
+    recent = between(stored, low, low + 50_000_000)
+    assert column(recent, "sequence") == [50_000, 100_000]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "GreaterThanOrEqual(timestamp_ms" in plan
 
 
 def test_tables(spark, path):
