@@ -546,10 +546,7 @@ def segments_incremental(spark, sf_dir):
     return current_segments(spark, path)
 
 
-def _finalized(spark, sf_dir) -> DataFrame:
-    """From a repeated and shuffled topic: deduplicated, folded in several micro-batches, finalised."""
-    rows = samples.delivered(_storefront(spark, sf_dir))
-    stream = dedup_stream(_staged_stream(spark, rows, ARRIVAL_ORDER, 3), ["event_id"], "200 days")
+def _finalized(spark, stream: DataFrame) -> DataFrame:
     path = new_path(spark, "segments")
     finish(incremental_segments(stream, standard_segments(), path, f"{path}/checkpoint", shards=4))
     return finalize_segments(spark, path, standard_segments())
@@ -557,13 +554,19 @@ def _finalized(spark, sf_dir) -> DataFrame:
 
 @register
 def segments_finalize(spark, sf_dir):
-    return _finalized(spark, sf_dir)
+    """From a repeated and shuffled topic: deduplicated, folded in two micro-batches, finalised."""
+    rows = samples.delivered(_storefront(spark, sf_dir))
+    stream = _staged_stream(spark, rows, ARRIVAL_ORDER, 2)
+    return _finalized(spark, dedup_stream(stream, ["event_id"], "200 days"))
 
 
 @register
 def segments_validate(spark, sf_dir):
-    return reconcile.diff_sets(_finalized(spark, sf_dir), _membership(spark, sf_dir),
-                               "segment_id", "profile_id", _segment_groups(spark))
+    """The incremental result of a shuffled topic, read in three micro-batches, against the full one."""
+    rows = _storefront(spark, sf_dir).withColumn("arrival", F.col("n") * 7919 % 1000003)
+    incremental = _finalized(spark, _staged_stream(spark, rows, ["arrival", "n"], 3))
+    return reconcile.diff_sets(incremental, _membership(spark, sf_dir), "segment_id", "profile_id",
+                               _segment_groups(spark))
 
 
 @register

@@ -18,7 +18,7 @@ def minute_rollup_stream(webhooks: DataFrame, path: str, checkpoint: str, trigge
     No row is ever too late, since a late webhook just adds to its minute, and
     the rollup is never empty while it is refreshed.
     """
-    return each_batch(webhooks, lambda batch, batch_id: append_batch(minute_rollup(batch), path, batch_id),
+    return each_batch(webhooks, lambda batch, batch_id: append_batch(minute_rollup(batch), path, batch_id, files=8),
                       checkpoint, trigger)
 
 

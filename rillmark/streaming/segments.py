@@ -43,7 +43,9 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: S
     the stream was built in: the session of a micro-batch runs without adaptive
     execution, which the joins on the logs should have.
     """
-    append_batch(facts_of(batch, shards), _facts_path(path), batch_id, "shard")
+    # At most four files per shard and micro-batch; the facts of a hot profile spread over them.
+    spread = F.pmod(F.xxhash64("facet", "item"), F.lit(4))
+    append_batch(facts_of(batch, shards).repartition("shard", spread), _facts_path(path), batch_id, "shard")
     fresh = read_log(spark, _facts_path(path), FACTS).where(F.col("batch_id") == batch_id)
     newest = fresh.agg(F.max("last_ms")).first()[0]
     if newest is None:
