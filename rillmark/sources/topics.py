@@ -6,6 +6,8 @@ the connector package must be on the classpath; files need nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,3 +40,8 @@ def read_topic_stream(spark: SparkSession, source: dict) -> DataFrame:
     """All partitions from the first record on; the query's checkpoint keeps the progress."""
     start = {"startingOffsets": "earliest"} if source["format"] == "kafka" else {}
     return _configure(spark.readStream, source, start)
+
+
+def merge_topics(*frames: DataFrame) -> DataFrame:
+    """The records of several topics, or of several parts of one, as one frame or stream."""
+    return reduce(DataFrame.unionByName, frames)

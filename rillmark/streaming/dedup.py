@@ -20,7 +20,9 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], horizon: str = "1 day",
 
     Choose the horizon no shorter than the longest retry delay: records older than
     it, counted from the newest seen, are dropped and show in ``late_rows``.  The
-    watermark starts at 1970, so times up to then count as late too.
+    watermark starts at 1970, so times up to then count as late too.  The keys of a
+    whole horizon are state: start the query inside ``rocksdb_state`` to keep them
+    on disk and not on the heap.
     """
     timed = stream.withColumn("_event_time", F.timestamp_millis(F.col(time_ms)))
     return (timed.withWatermark("_event_time", horizon)

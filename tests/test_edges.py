@@ -11,7 +11,7 @@ from rillmark.schemas import DELIVERY_WEBHOOK, READING
 from rillmark.sinks import ensure_table, read_keyed, truncate_table, write_keyed
 from rillmark.sinks.keyed import keyed_messages
 from rillmark.sources import (
-    decode_records, kafka_topic, parquet_topic, parse_webhooks, read_topic_snapshot, read_topic_stream,
+    decode_records, kafka_topic, merge_topics, parquet_topic, parse_webhooks, read_topic_snapshot, read_topic_stream,
     reject_undecodable,
 )
 from rillmark.sources.decode import MAX_BODY_BYTES, rejected_webhooks
@@ -70,6 +70,8 @@ def test_snapshot_and_stream_read_the_same(spark, path):
     finish(query)
     assert late_rows(query) == 0 and source_lag(query) == {}
     snapshot = read_topic_snapshot(spark, parquet_topic(f"{path}/in", READING))
+    assert merge_topics(snapshot.where("sequence < 5"), snapshot.where("sequence >= 5")).count() == 20
+    assert merge_topics(read_topic_stream(spark, source), read_topic_stream(spark, source)).isStreaming
     assert tuple(lost_records(snapshot, spark.read.parquet(f"{path}/out"), ["sequence"]).first()) == (20, 20, 0)
 
 
@@ -110,7 +112,8 @@ def test_tables(spark, path):
     for _ in range(2):
         ensure_table(spark, "edge_hooks", DELIVERY_WEBHOOK, path, ["channel"])
     ordered = spark.table("edge_hooks").columns
-    spark.createDataFrame([("w", "m", "sms", "sent", 1, "p")], DELIVERY_WEBHOOK).select(*ordered).write.insertInto("edge_hooks")
+    row = spark.createDataFrame([("w", "m", "sms", "sent", 1, "p")], DELIVERY_WEBHOOK)
+    row.select(*ordered).write.insertInto("edge_hooks")
     assert spark.table("edge_hooks").count() == 1
     truncate_table(spark, "edge_hooks")
     assert spark.table("edge_hooks").count() == 0

@@ -27,5 +27,9 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, duck, name):
-    got = queries()[name](spark, SF_DIR).toPandas()
+    frame = queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "Python" not in plan and "MapInArrow" not in plan
+    got = frame.toPandas()
     assert differences(got, duck.execute(oracle_sql()[name]).df()) is None
