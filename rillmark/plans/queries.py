@@ -169,7 +169,7 @@ def table_reset(spark, sf_dir):
 def membership_snapshot(spark, sf_dir):
     before, after = _membership(spark, sf_dir, 7), _membership(spark, sf_dir)
     path = new_path(spark, "membership")
-    write_membership(before.withColumn("change", F.lit("added")), path, 0)
+    write_membership(before.withColumn("change", F.lit("added")), path, 0, shards=4)
     write_membership(segments.membership_delta(read_membership(spark, path), after), path, 1)
     return read_membership(spark, path)
 

@@ -69,3 +69,10 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not filesystem.exists(hadoop_path):
         return []
     return sorted(entry.getPath().getName() for entry in filesystem.listStatus(hadoop_path))
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    filesystem.create(hadoop_path, True).close()

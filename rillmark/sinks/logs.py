@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.session import child_names, path_exists
+from rillmark.session import child_names, path_exists, touch
 
 MARKER = "_SUCCESS"
+DEFAULT_SHARDS = 64
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: str | None = None,
@@ -79,3 +80,14 @@ def compact_log(spark: SparkSession, path: str, schema: T.StructType, merge: Cal
         writer = writer.partitionBy(partition_by)
     writer.parquet(f"{path}/base/upto={deltas[-1]}")
     return deltas[-1]
+
+
+def fixed_shards(spark: SparkSession, path: str, wanted: int | None = None) -> int:
+    """The number of shards of a sharded log: noted by its first writer, the same for all others."""
+    noted = [int(n[len("shards="):]) for n in child_names(spark, path) if n.startswith("shards=")]
+    if not noted:
+        noted = [wanted or DEFAULT_SHARDS]
+        touch(spark, f"{path}/shards={noted[0]}")
+    if wanted is not None and wanted != noted[0]:
+        raise ValueError(f"{path} has {noted[0]} shards, not {wanted}")
+    return noted[0]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rillmark.session import child_names, path_exists
+from rillmark.session import child_names, path_exists, touch
 from rillmark.streaming.running import each_batch
 
 # A sink takes the rows and a name that belongs to these rows across retries.  It raises if
@@ -40,12 +40,6 @@ def _keep(rows: DataFrame, path: str, name: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/open/{_PARCEL}{name}")
 
 
-def _close(spark: SparkSession, path: str, name: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/closed/{_PARCEL}{name}")
-    filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    filesystem.create(hadoop_path, True).close()
-
-
 def deliver_with_replay(stream: DataFrame, sink: Sink, undelivered_path: str, checkpoint: str,
                         trigger: dict | None = None) -> StreamingQuery:
     """Offer each micro-batch to ``sink`` and keep what it did not take."""
@@ -84,7 +78,7 @@ def replay_undelivered(spark: SparkSession, path: str, schema: T.StructType, sin
             continue
         if failed is not None:
             _keep(failed, path, _remainder(name, failed, rows))
-        _close(spark, path, name)
+        touch(spark, f"{path}/closed/{_PARCEL}{name}")
     return len(open_parcels(spark, path))
 
 

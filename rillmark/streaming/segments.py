@@ -18,11 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 from rillmark.operators.definitions import Segment
 from rillmark.operators.segment_state import FACTS, facts_of, members_from_facts, merge_facts, trim_facts
 from rillmark.operators.segments import membership_delta
-from rillmark.sinks.logs import append_batch, compact_log, read_log
+from rillmark.sinks.logs import append_batch, compact_log, fixed_shards, read_log
 from rillmark.sinks.membership import CHANGES, read_membership, write_membership
 from rillmark.streaming.running import each_batch
 
-DEFAULT_SHARDS = 64
 # Change numbers between two micro-batches, for final passes.
 _STEP = 1_000
 
@@ -36,31 +35,34 @@ def _changes_path(path: str) -> str:
 
 
 def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: Sequence[Segment], path: str,
-               shards: int = DEFAULT_SHARDS) -> None:
+               shards: int | None = None) -> None:
     """Add one micro-batch and write the membership changes of the profiles in it.
 
     They are decided as of the newest event in the batch.  ``spark`` is the session
     the stream was built in: the session of a micro-batch runs without adaptive
     execution, which the joins on the logs should have.
     """
+    shards = fixed_shards(spark, _facts_path(path), shards)
     # At most four files per shard and micro-batch; the facts of a hot profile spread over them.
     spread = F.pmod(F.xxhash64("facet", "item"), F.lit(4))
     append_batch(facts_of(batch, shards).repartition("shard", spread), _facts_path(path), batch_id, "shard")
     fresh = read_log(spark, _facts_path(path), FACTS).where(F.col("batch_id") == batch_id)
-    newest = fresh.agg(F.max("last_ms")).first()[0]
-    if newest is None:
+    # At most one row per shard; as literals they pick the folders to read.
+    per_shard = fresh.groupBy("shard").agg(F.max("last_ms").alias("newest")).collect()
+    if not per_shard:
         return
+    newest, in_shards = max(row["newest"] for row in per_shard), [row["shard"] for row in per_shard]
     touched = fresh.select("shard", "profile_id").distinct()
-    facts = read_log(spark, _facts_path(path), FACTS).join(touched, ["shard", "profile_id"], "left_semi")
-    after = members_from_facts(facts, segments, newest)
+    log = read_log(spark, _facts_path(path), FACTS).where(F.col("shard").isin(in_shards))
+    after = members_from_facts(log.join(touched, ["shard", "profile_id"], "left_semi"), segments, newest)
     change = batch_id * _STEP
-    before = read_membership(spark, _changes_path(path), change).join(
+    before = read_membership(spark, _changes_path(path), change, in_shards).join(
         touched.select("profile_id"), "profile_id", "left_semi")
-    write_membership(membership_delta(before, after), _changes_path(path), change)
+    write_membership(membership_delta(before, after), _changes_path(path), change, shards)
 
 
 def incremental_segments(events: DataFrame, segments: Sequence[Segment], path: str, checkpoint: str,
-                         trigger: dict | None = None, shards: int = DEFAULT_SHARDS) -> StreamingQuery:
+                         trigger: dict | None = None, shards: int | None = None) -> StreamingQuery:
     spark = events.sparkSession
     return each_batch(events, lambda batch, batch_id: fold_batch(spark, batch, batch_id, segments, path, shards),
                       checkpoint, trigger)
@@ -76,7 +78,8 @@ def newest_event(spark: SparkSession, path: str) -> int | None:
         F.max("last_ms")).first()[0]
 
 
-def finalize_segments(spark: SparkSession, path: str, segments: Sequence[Segment], as_of: int | None = None) -> DataFrame:
+def finalize_segments(spark: SparkSession, path: str, segments: Sequence[Segment],
+                      as_of: int | None = None) -> DataFrame:
     """Decide every profile again as of ``as_of`` (by default the newest event), write the
     changes and return the membership."""
     newest = newest_event(spark, path)

@@ -183,6 +183,8 @@ def test_incremental_equals_full_with_late_events_retries_and_compaction(spark,
             compact_segments(spark, path, chosen)
             compact_membership(spark, f"{path}/membership")
     assert merged_upto(spark, f"{path}/facts") == 1
+    with pytest.raises(ValueError):
+        fold_batch(spark, storefront(spark, rows), 9, chosen, path, shards=5)
     fold_batch(spark, storefront(spark, []), 4, chosen, path, shards=3)
     assert pairs(finalize_segments(spark, path, chosen)) == members(chosen, rows, now)
     assert pairs(current_segments(spark, path)) == members(chosen, rows, now)
@@ -199,8 +201,8 @@ def test_incremental_equals_full_with_late_events_retries_and_compaction(spark,
 def test_each_batch_decides_the_profiles_it_touches(spark, path):
     chosen = [s for s in standard_segments() if s.id in ("never_purchased", "recently_active_1h")]
     fold_batch(spark, storefront(spark, [("e1", "p1", "page_view", NOW, {}), ("e2", "p2", "page_view", NOW, {})]),
-               0, chosen, path)
-    fold_batch(spark, storefront(spark, [("e3", "p1", "purchase", NOW + DAY, {})]), 1, chosen, path)
+               0, chosen, path, shards=3)
+    fold_batch(spark, storefront(spark, [("e3", "p1", "purchase", NOW + DAY, {})]), 1, chosen, path, shards=3)
     assert pairs(current_segments(spark, path)) == {
         ("recently_active_1h", "p1"), ("never_purchased", "p2"), ("recently_active_1h", "p2")}
     assert pairs(finalize_segments(spark, path, chosen)) == {("recently_active_1h", "p1"), ("never_purchased", "p2")}
@@ -218,7 +220,7 @@ def test_incremental_stream(spark, path):
 def test_membership_store(spark, path):
     def change(batch_id, *rows):
         write_membership(spark.createDataFrame(list(rows), "segment_id string, profile_id string, change string"),
-                         path, batch_id)
+                         path, batch_id, shards=2)
 
     change(0, ("s", "p1", "added"), ("s", "p2", "added"))
     change(1, ("s", "p1", "removed"), ("t", "p1", "added"))
@@ -230,3 +232,6 @@ def test_membership_store(spark, path):
     assert pairs(read_membership(spark, path)) == want
     change(2, ("t", "p1", "removed"))
     assert pairs(read_membership(spark, path)) == {("s", "p2")}
+    assert set.union(*[pairs(read_membership(spark, path, shards=[k])) for k in range(2)]) == {("s", "p2")}
+    pruned = read_membership(spark, path, shards=[1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shard" in pruned or "PartitionFilters: [isnotnull(shard" in pruned
