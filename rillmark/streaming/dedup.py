@@ -50,6 +50,14 @@ class _FifoMemory(StatefulProcessor):
         pass
 
 
+def _remembering(keyed: DataFrame, key: str, rows: T.StructType, id_column: str, order: Sequence[str],
+                 cap: int) -> DataFrame:
+    """Group ``keyed`` by its column ``key`` and return its admitted rows with the columns of ``rows``."""
+    processor = _FifoMemory(id_column, rows[id_column].dataType, order, rows.names, cap)
+    return keyed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=rows, outputMode="Append", timeMode="None")
+
+
 def dedup_bounded_stream(stream: DataFrame, group: str, id_column: str, order: Sequence[str],
                          cap: int = DEFAULT_CAP) -> DataFrame:
     """Streaming form of ``dedup_bounded``; start it inside ``rocksdb_state``.
@@ -57,12 +65,11 @@ def dedup_bounded_stream(stream: DataFrame, group: str, id_column: str, order: S
     A task holds one group's rows of one micro-batch, so bound the micro-batch
     at the source (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
     """
-    processor = _FifoMemory(id_column, stream.schema[id_column].dataType, order, stream.columns, cap)
-    return stream.groupBy(group).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=stream.schema, outputMode="Append", timeMode="None")
+    return _remembering(stream, group, stream.schema, id_column, order, cap)
 
 
 def dedup_sharded_stream(stream: DataFrame, id_column: str, order: Sequence[str], cap: int = 4_000_000,
                          shards: int = 64) -> DataFrame:
-    sharded = stream.withColumn("_shard", shard_of(F.col(id_column), shards))
-    return dedup_bounded_stream(sharded, "_shard", id_column, order, max(1, cap // shards)).drop("_shard")
+    """Streaming form of ``dedup_sharded``, with the same remarks."""
+    keyed = stream.withColumn("_shard", shard_of(F.col(id_column), shards))
+    return _remembering(keyed, "_shard", stream.schema, id_column, order, max(1, cap // shards))
