@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, mixing
+from rillmark.llm import bpe, mixing, quality, simhash
 from rillmark.llm.common import table
 from rillmark.llm.queries import RANKS
 from rillmark.session import materialise
@@ -15,6 +16,17 @@ from rillmark.session import materialise
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, with the lines that failed removed from their text."""
+    kept = quality.assess(docs).where("kept")
+    return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate and its draw say."""
     return mixing.mix(docs)
@@ -25,7 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "source", "lang", "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("mix", mix), ("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [("clean", clean), ("dedup", dedup), ("mix", mix), ("encode", encode)]
 
 ORACLE_SQL = None
 

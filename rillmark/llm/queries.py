@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, codes, mixing, sharding
+from rillmark.llm import bpe, codes, mixing, quality, sharding, simhash
 from rillmark.llm.common import table
 from rillmark.session import new_path
 
@@ -29,6 +29,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
 def op7_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "codes")
     codes.write(codes.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID), path)
@@ -41,4 +49,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
-REGISTERED = {query.__name__: query for query in (op1_bpe, op3_mixing, op7_codes, op8_sharding)}
+REGISTERED = {query.__name__: query for query in (
+    op1_bpe, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding)}

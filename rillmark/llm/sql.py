@@ -36,4 +36,40 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLES = {"op3_mixing": OP3}
+OP6 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY r),
+lines AS (
+  SELECT r, line, count(*) AS copies
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '[|»›•·/>]')) AS separators, len(regexp_extract_all(line, '\p{Lu}{2,}')) AS capitals,
+         length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
+  FROM lines),
+judged AS (
+  SELECT r, sum(copies - 1) AS dup, sum(CASE WHEN
+           3 * symbols > n OR (n >= 3 AND (2 * separators > n OR 2 * capitals > n))
+           OR (n >= 10 AND NOT regexp_matches(line, '[.!?…:;。！？،؟]'))
+           OR (n <= 12 AND regexp_matches(lower(line), 'cookie|javascript|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign in|log in|subscribe|newsletter|skip to content|share this|lorem ipsum'))
+         THEN 0 ELSE chars END) AS clean
+  FROM counted GROUP BY r),
+facts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(clean, 0)::BIGINT AS clean_chars
+  FROM docs JOIN words USING (r) LEFT JOIN judged USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND clean_chars >= 0.7::DOUBLE * word_chars AS kept
+FROM facts
+"""
+
+ORACLES = {"op3_mixing": OP3, "op6_quality": OP6}
