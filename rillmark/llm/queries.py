@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, codes, mixing, quality, sharding, simhash
+from rillmark.llm import bpe, codes, mixing, quality, sharding, simhash, warc
 from rillmark.llm.common import table
-from rillmark.session import new_path
+from rillmark.session import materialise, new_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE, END_ID = "word_bpe_49k.json", 2
@@ -24,6 +24,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    records = materialise(warc.read(manifest, payload=False), "warc-records")
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.rates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -50,4 +56,4 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = {query.__name__: query for query in (
-    op1_bpe, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding)}
+    op1_bpe, op2_warc, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding)}

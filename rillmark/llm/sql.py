@@ -4,6 +4,19 @@ from __future__ import annotations
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
+OP2 = """
+WITH records AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original,
+         count(*) OVER (PARTITION BY payload_digest) > 1 AND payload_bytes >= 1000 AS repeated
+  FROM records)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN repeated AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN repeated AND page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM placed
+"""
+
 OP3 = f"""
 WITH docs AS (
   SELECT doc_id, source, {_WORDS}::BIGINT AS size,
@@ -72,4 +85,4 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM facts
 """
 
-ORACLES = {"op3_mixing": OP3, "op6_quality": OP6}
+ORACLES = {"op2_warc": OP2, "op3_mixing": OP3, "op6_quality": OP6}
