@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from tokenizers import Tokenizer
 
-from rillmark.llm.common import quoted
+from rillmark.llm.common import id_cell, quoted
 from rillmark.session import materialise
 
 CHUNK_BITS = 8
 BLOCK = 512
 SEGMENT = 1_000_000
 REMEMBERED, LONGEST = 300_000, 48
+MARKS = b".,;:!?"
 SEPARATOR = "\ue000"
 _HEAD = struct.Struct("<4sHHIIQ")
 
@@ -151,25 +152,54 @@ class Words:
     def load(path: str) -> Words:
         return Words(path)
 
+    def _known(self, word: bytes) -> bytes | None:
+        ids = self.young.get(word)
+        return self.old.get(word) if ids is None else ids
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the young generation does not hold.
+
+        Marks after a letter or digit are tokens of their own, so a word is put together from its core and its tail.
+        """
+        parts, unknown = {}, set()
+        for word in words:
+            if self._known(word) is None:
+                core = word.rstrip(MARKS)
+                if len(core) == len(word) or not core or not _letter_ends(core):
+                    core = word
+                parts[word] = core
+                unknown |= {part for part in (core, word[len(core):]) if part and self._known(part) is None}
+        unknown = list(unknown)
+        fresh = dict(zip(unknown, self._encode(unknown) if unknown else ()))
+        found = {}
+        for word in words:
+            core = parts.get(word, word)
+            found[word] = b"".join(self._known(part) if part not in fresh else fresh[part] for part in (core, word[len(core):]) if part)
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young.update((word, ids) for known in (fresh, found) for word, ids in known.items() if len(word) <= LONGEST)
+        return found
+
     def packed(self, text: str) -> bytes:
-        """Ids as 16- or 32-bit integers; the white space of bytes.split() never lies within a token."""
+        """Ids as 32-bit integers; the white space of bytes.split() never lies within a token."""
         words = text.encode().split()
         found = list(map(self.young.get, words))
-        missing = [at for at, ids in enumerate(found) if ids is None]
-        if missing:
-            fresh = {}
-            for word in {words[at] for at in missing}:
-                fresh[word] = self.old.get(word)
-            unknown = [word for word, ids in fresh.items() if ids is None]
-            fresh.update(zip(unknown, self._encode(unknown) if unknown else ()))
+        if None in found:
+            missing = [at for at, ids in enumerate(found) if ids is None]
+            learnt = self._learn({words[at] for at in missing})
             for at in missing:
-                found[at] = fresh[words[at]]
-            if len(self.young) >= REMEMBERED:
-                self.young, self.old = {}, self.young
-            self.young.update((word, ids) for word, ids in fresh.items() if len(word) <= LONGEST)
+                found[at] = learnt[words[at]]
         return b"".join(found)
 
 
+def _letter_ends(word: bytes) -> bool:
+    """Whether a word ends with a Latin letter or a digit."""
+    if word[-1] < 0x80:
+        return word[-1:].isalnum()
+    last = word[-2:].decode(errors="replace")[-1]
+    return last.lower().isalpha() and last < "\u0250"  # some grow a mark when lowered
+
+
 def encode(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``packed`` (little-endian 32-bit ids of the text, then ``end_id``), ``tie``."""
     end = np.array([end_id], "<u4").tobytes()
@@ -183,9 +213,13 @@ def encode(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text:
                      packed.asNondeterministic()(quoted(text).cast("string")).alias("packed"))
 
 
-def write(encoded: DataFrame, path: str, segment: int = SEGMENT) -> None:
+def write(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
+          segment: int = SEGMENT) -> None:
     """Write segments to ``path``: ``part``, ``number`` (order within the part), ``first_id``, ``doc_ids``, ``n_tokens``, ``data``."""
 
+    encoded = encode(df, tokenizer, end_id, doc_id, text)
+    cell = id_cell(df, doc_id, F.col("doc_id"))
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, ids, size = 0, [], [], 0
 
@@ -199,7 +233,7 @@ def write(encoded: DataFrame, path: str, segment: int = SEGMENT) -> None:
         for batch in batches:
             for own, doc, packed in zip(*(batch.column(name).to_pylist() for name in ("part", "doc_id", "packed"))):
                 tokens = np.frombuffer(packed, "<u4")
-                if held and size + len(tokens) > segment:
+                if held and (own != part or size + len(tokens) > segment):
                     yield close()
                     number, held, ids, size = number + 1, [], [], 0
                 part = own
@@ -209,8 +243,9 @@ def write(encoded: DataFrame, path: str, segment: int = SEGMENT) -> None:
         if held:
             yield close()
 
-    ranged = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie"))
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").withColumn("part", F.spark_partition_id())
+    # Not repartitionByRange: its sample would encode everything once more.
+    placed = encoded.withColumn("part", cell).repartition("part")
+    ordered = placed.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
     ordered.select("part", "doc_id", "packed").mapInArrow(
         segments, "part int, number long, doc_ids array<long>, n_tokens long, data binary").write.parquet(path)
 

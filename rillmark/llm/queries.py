@@ -45,7 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "codes")
-    codes.write(codes.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID), path)
+    codes.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), END_ID)
     return codes.read(spark.read.parquet(path)).drop("packed")
 
 

@@ -20,13 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rillmark.llm.common import quoted
+from rillmark.llm.common import id_cell, quoted
 from rillmark.llm.quality import let, words_of
 from rillmark.session import materialise
 
 K, S, SIZE = 5, 2, 128
-#: Rows of a cell, and the most cells.
-CELL_ROWS, CELLS = 500, 4096
 
 
 def anchors(text: Column) -> Column:
@@ -78,15 +76,11 @@ def offset(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, doc_id: str, *columns: str) -> DataFrame:
     """``df`` with ``next_<column>`` of the next document in descending order of ``doc_id``; after the last comes the first."""
     key, tie = quoted(doc_id), F.xxhash64(*map(quoted, columns))
-    rows, edges = _edges(df, doc_id)
-    if not rows:
-        return df.select("*", *[quoted(name).alias(f"next_{name}") for name in columns])
-    # Cells count down with the id, nulls in the last.
-    cell = F.when(key.isNull(), F.lit(len(edges))).otherwise(
-        F.lit(len(edges)) - F.size(F.filter(F.lit(edges), lambda edge: edge < key))) if edges else F.lit(0)
-    placed = df.select("*", cell.cast("int").alias("syncmer_cell"), tie.alias("syncmer_tie"))
+    # Counts down with the id, nulls last.
+    cell = -id_cell(df, doc_id, key)
+    placed = df.select("*", cell.alias("syncmer_cell"), tie.alias("syncmer_tie"))
     order = F.struct(F.col("id").isNull(), -F.col("id"), F.col("tie"))
-    ids = df.select(key.alias("id"), tie.alias("tie"), cell.cast("int").alias("cell"))
+    ids = df.select(key.alias("id"), tie.alias("tie"), cell.alias("cell"))
     first = ids.groupBy("cell").agg(F.min(order).alias("o"), F.min_by(F.struct("id", "tie"), order).alias("head"))
     # One row per cell: the cell that each head also goes to is the one before, and the first head closes the last cell.
     before, last = F.lag("cell").over(Window.orderBy("cell")), F.max("cell").over(Window.partitionBy())
@@ -100,17 +94,6 @@ def with_next(df: DataFrame, doc_id: str, *columns: str) -> DataFrame:
     return both.select("*", *following).where("not syncmer_copy").drop("syncmer_cell", "syncmer_tie", "syncmer_copy")
 
 
-def _edges(df: DataFrame, doc_id: str) -> tuple[int, list[int]]:
-    """Number of rows, and ids that cut them into cells."""
-    rows = df.count()
-    cells = min(CELLS, max(1, rows // CELL_ROWS))
-    if cells == 1:
-        return rows, []
-    shares = [at / cells for at in range(1, cells)]
-    found = df.agg(F.percentile_approx(quoted(doc_id), shares, 20 * CELLS)).first()[0]
-    return rows, sorted(set(found or []))
-
-
 def compare_with_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text``, ``edited_text``, ``sketch``, ``edited_sketch``, ``near_edited``, ``near_next``.
 
