@@ -13,6 +13,7 @@ named like the output column is replaced.
 from __future__ import annotations
 
 import base64
+import itertools
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,10 @@ BITS = 8
 #: Single bits, for words of the bitmap and for its top up to a vocabulary of 2**20.
 _ONE = [1 << bit for bit in range(4096)]
 #: Entries of each generation that a worker remembers, and the longest piece worth it. Both bound memory only.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 200_000, 48
+#: Bits for the second id of a pair.
+SHIFT = 20
+MARKS = ".,;:!?"
 
 
 class Memory:
@@ -64,10 +68,16 @@ class Bpe:
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.lengths = np.array([-1 if token is None else len(token) for token in self.tokens], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(np.maximum(self.lengths, 0))]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(token or b"" for token in self.tokens), dtype=np.uint8)
-        self.words, self.pretokens = Memory(), Memory()
+        self.known = np.array([token is not None for token in self.tokens], dtype=bool)
+        # Rank of every pair of tokens that joins to a token, by both ids.
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
+                    self.pairs[left << SHIFT | right] = rank
+        self.bytes_to_ids = [ranks.get(bytes([byte]), -1) for byte in range(256)]
+        self.words = Memory()
+        self.marks: dict[str, bytes] = {}
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -79,15 +89,15 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        rank_of = self.ranks.get
-        if (whole := rank_of(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        size = len(piece)
-        after = [*range(1, size + 1)]     # start of the next symbol: also the end of this one
+        size, rank_of = len(piece), self.pairs.get
+        ids = [self.bytes_to_ids[byte] for byte in piece]  # of the symbol that starts here, -1 once it is joined to another
+        after = [*range(1, size + 1)]     # start of the next symbol
         before = [*range(-1, size - 1)]
         # Rank of the pair that starts here, -1 if none.
-        pending = [rank_of(piece[start:start + 2], -1) for start in range(size)]
-        pending[-1] = -1
+        pending = [rank_of(left << SHIFT | right, -1) for left, right in itertools.pairwise(ids)]
+        pending.append(-1)
         # The queue: bit g of top is set if groups[g] is not 0, bit b of groups[g] if bucket g * 2**BITS + b holds something.
         top, groups, buckets, low, one = 0, {}, {}, (1 << BITS) - 1, _ONE
         for start, rank in enumerate(pending):
@@ -114,47 +124,60 @@ class Bpe:
                     top &= top - 1
             if pending[start] != rank:
                 continue  # stale
+            ids[start] = rank
             gone = after[start]
             end = after[start] = after[gone]
-            pending[gone] = -1
+            ids[gone] = pending[gone] = -1
             if end < size:
                 before[end] = start
-                pending[start] = rank = rank_of(piece[start:after[end]], -1)
-                if rank >= 0:
-                    if rank in buckets:
-                        heappush(buckets[rank], start)
+                pending[start] = near = rank_of(rank << SHIFT | ids[end], -1)
+                if near >= 0:
+                    if near in buckets:
+                        heappush(buckets[near], start)
                     else:
-                        buckets[rank] = [start]
-                        group = rank >> BITS
-                        groups[group] = groups.get(group, 0) | one[rank & low]
+                        buckets[near] = [start]
+                        group = near >> BITS
+                        groups[group] = groups.get(group, 0) | one[near & low]
                         top |= one[group]
             else:
                 pending[start] = -1
             if start:
                 left = before[start]
-                pending[left] = rank = rank_of(piece[left:end], -1)
-                if rank >= 0:
-                    if rank in buckets:
-                        heappush(buckets[rank], left)
+                pending[left] = near = rank_of(ids[left] << SHIFT | rank, -1)
+                if near >= 0:
+                    if near in buckets:
+                        heappush(buckets[near], left)
                     else:
-                        buckets[rank] = [left]
-                        group = rank >> BITS
-                        groups[group] = groups.get(group, 0) | one[rank & low]
+                        buckets[near] = [left]
+                        group = near >> BITS
+                        groups[group] = groups.get(group, 0) | one[near & low]
                         top |= one[group]
-        ids, start = [], 0
-        while start < size:
-            ids.append(self.ranks[piece[start:after[start]]])
-            start = after[start]
-        return ids
+        return [one_id for one_id in ids if one_id >= 0]
 
     def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for pretoken in self.pretoken.findall(chunk):
-            if (packed := self.pretokens.find(pretoken)) is None:
-                packed = array("i", self.merge(pretoken.encode())).tobytes()
-                self.pretokens.keep(pretoken, packed)
-            out.append(packed)
-        return b"".join(out)
+        """Ids of a text that is cut into pre-tokens first."""
+        return array("i", [i for piece in self.pretoken.findall(chunk) for i in self.merge(piece.encode())]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the blank before it.
+
+        Marks after a letter are a pre-token of their own, so they are looked up apart from the word they follow.
+        """
+        if (packed := self.words.find(word)) is not None:
+            return packed
+        core = word.rstrip(MARKS)
+        if core != word and core and core[-1].isalpha():
+            if (marks := self.marks.get(tail := word[len(core):])) is None:
+                marks = self._chunk(tail)
+                if len(self.marks) < REMEMBERED and len(tail) <= LONGEST:
+                    self.marks[tail] = marks
+            packed = self._word(core) + marks
+        elif word.isalpha():
+            packed = array("i", self.merge(b" " + word.encode())).tobytes()
+        else:
+            packed = self._chunk(" " + word)
+        self.words.keep(word, packed)
+        return packed
 
     def _edges(self, word: str) -> bool:
         """Whether a word begins and ends with something other than white space."""
@@ -176,11 +199,8 @@ class Bpe:
                     return b"".join(map(self._chunk, self._chunks(words)))
                 if at == 0:
                     found[at] = self._chunk(word)
-                elif (packed := self.words.find(word)) is None:
-                    found[at] = packed = self._chunk(" " + word)
-                    self.words.keep(word, packed)
                 else:
-                    found[at] = packed
+                    found[at] = self._word(word)
         return b"".join(found)
 
     def _chunks(self, words: list[str]) -> Iterator[str]:
@@ -200,17 +220,13 @@ class Bpe:
 
     def decode(self, ids: pa.Array) -> pa.Array:
         ids = ids.fill_null([]) if ids.null_count else ids
-        offsets = ids.offsets.to_numpy()
-        values = ids.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
-        values = values.astype(np.int64)
-        if len(values) and (values.min() < 0 or values.max() >= len(self.lengths) or (self.lengths[values] < 0).any()):
+        offsets = ids.offsets.to_numpy().tolist()
+        values = ids.values.to_numpy(zero_copy_only=False)[:offsets[-1]]
+        used = values[offsets[0]:]
+        if len(used) and not (used.min() >= 0 and used.max() < len(self.known) and self.known[used].all()):
             raise ValueError("an id has no token")
-        lengths = self.lengths[values]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.arange(ends[-1], dtype=np.int64) + np.repeat(self.starts[values] - ends[:-1], lengths)
-        cuts = ends[offsets - offsets[0]]
-        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()),
-                                     pa.py_buffer(self.bytes[where].tobytes())]).cast(pa.binary())
+        token = self.tokens.__getitem__
+        return pa.array([b"".join(map(token, values[start:end].tolist())) for start, end in itertools.pairwise(offsets)], pa.binary())
 
 
 def _lists(parts: list[bytes], width: int, kind: pa.DataType, dtype: np.dtype) -> pa.Array:
