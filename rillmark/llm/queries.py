@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, codes, mixing, quality, sharding, simhash, syncmers, warc
+from rillmark.llm import bpe, codes, mainhtml, mixing, quality, sharding, simhash, syncmers, warc
 from rillmark.llm.common import table
 from rillmark.session import materialise, new_path
 
@@ -55,6 +55,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.compare_with_edited(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
@@ -63,4 +67,4 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = {query.__name__: query for query in (
-    op1_bpe, op2_warc, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding, op10_syncmers)}
+    op1_bpe, op2_warc, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers)}
