@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, codes, mainhtml, mixing, quality, sharding, simhash, syncmers, warc
+from rillmark.llm import bpe, codes, licenses, mainhtml, mixing, quality, sharding, simhash, syncmers, warc
 from rillmark.llm.common import table
 from rillmark.session import materialise, new_path
 
@@ -35,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,4 +71,4 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = {query.__name__: query for query in (
-    op1_bpe, op2_warc, op3_mixing, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers)}
+    op1_bpe, op2_warc, op3_mixing, op4_licenses, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers)}

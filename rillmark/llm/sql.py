@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rillmark.llm import licenses
+
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 OP2 = """
@@ -49,6 +51,34 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_words(text: str) -> str:
+    spaced = (f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || "
+              f"{_text(licenses.PUNCTUATION[5:])}, 'abcdefghijklmnopqrstuvwxyz{' ' * len(licenses.PUNCTUATION)}')")
+    return f"regexp_extract_all({spaced}, '[^ ]+')"
+
+
+OP4 = f"""
+WITH templates(license, template) AS (VALUES {', '.join(f'({_text(k)}, {_text(v)})' for k, v in licenses.TEMPLATES.items())}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_license_words("coalesce(text, '')")} AS w
+         FROM documents),
+own AS (
+  SELECT DISTINCT license, w[i:i + 4] AS shingle
+  FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i
+        FROM (SELECT license, {_license_words("template")} AS w FROM templates))),
+sizes AS (SELECT license, count(*) AS shingles FROM own GROUP BY license),
+found AS (
+  SELECT r, doc_id, license, count(DISTINCT shingle) AS matched, min(i) - 1 AS first_word
+  FROM (SELECT r, doc_id, w[i:i + 4] AS shingle, i FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs))
+  JOIN own USING (shingle) GROUP BY r, doc_id, license)
+SELECT doc_id, license, matched::BIGINT AS matched, shingles::BIGINT AS shingles, matched::DOUBLE / shingles AS containment,
+       first_word::BIGINT AS first_word
+FROM found JOIN sizes USING (license) WHERE matched::DOUBLE / shingles >= 0.8
+"""
+
 OP6 = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -85,4 +115,4 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM facts
 """
 
-ORACLES = {"op2_warc": OP2, "op3_mixing": OP3, "op6_quality": OP6}
+ORACLES = {"op2_warc": OP2, "op3_mixing": OP3, "op4_licenses": OP4, "op6_quality": OP6}
