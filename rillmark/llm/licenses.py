@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z), ASCII punctuation is white space, and runs of five words are shingles. Windows of ``WINDOW`` shingles
 start at every ``STRIDE`` of them; templates are cut at every one. A band is the smallest or the largest shingle of a window under
 one of ``PERMUTATIONS`` hash orders. A window that a template's window equals always meets it; a template of a single shingle is the
-smallest or largest of its window in one order with probability 1/2, so four orders and two overlapping windows find it with
-probability 1 - (1/2)^8 = 0.996, and longer ones more surely. A retrieved template is reported if at least ``CONTAINED`` of its distinct
+smallest or largest of its window in one order with probability 1/2, so six orders and two overlapping windows find it with
+probability 1 - (1/2)^12 = 0.9998, and longer ones more surely. A retrieved template is reported if at least ``CONTAINED`` of its distinct
 shingles occur in the text.
 
 Defined results: null and empty texts, and those of fewer than five words, match nothing; repeated rows are reported once each; a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import quoted
 from rillmark.llm.quality import let
 
-SHINGLE, WINDOW, STRIDE, PERMUTATIONS = 5, 4, 2, 4
+SHINGLE, WINDOW, STRIDE, PERMUTATIONS = 5, 4, 2, 6
 CONTAINED = 0.8
 MOST = 20_000
 UPPER, PUNCTUATION = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -70,11 +70,17 @@ def shingles(words: Column) -> Column:
 
 
 def orders(hashes: Column) -> list[Column]:
-    return [hashes, *[F.transform(hashes, lambda x, p=p: F.xxhash64(x, F.lit(p))) for p in range(1, PERMUTATIONS)]]
+    """``PERMUTATIONS`` hash orders of shingles."""
+
+    def salted(number: int) -> Column:
+        return F.transform(hashes, lambda x: F.xxhash64(x, F.lit(number)))
+
+    return [hashes, *map(salted, range(1, PERMUTATIONS))]
 
 
 def _bands(ordered: list[Column], start: Column) -> list[Column]:
-    windows = [F.slice(hashes, start + 1, WINDOW) for hashes in ordered]
+    # The first window of a text begins before it, so that every shingle lies in two.
+    windows = [F.slice(hashes, F.greatest(start, F.lit(0)) + 1, F.least(start, F.lit(0)) + WINDOW) for hashes in ordered]
     return [band for window in windows for band in (F.array_min(window), F.array_max(window))]
 
 
@@ -105,7 +111,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "do
     sets = [sorted({window[band] for row in known for window in row["bands"]}) for band in range(2 * PERMUTATIONS)]
 
     def candidates(ordered: list[Column]) -> Column:
-        starts = F.when(F.size(ordered[0]) > 0, F.sequence(F.lit(0), F.size(ordered[0]) - 1, F.lit(STRIDE))).otherwise(
+        starts = F.when(F.size(ordered[0]) > 0, F.sequence(F.lit(-STRIDE), F.size(ordered[0]) - 1, F.lit(STRIDE))).otherwise(
             F.array().cast("array<int>"))
         hit = lambda start: reduce(or_, [band.isin(values) for band, values in zip(_bands(ordered, start), sets)])
         return F.flatten(F.transform(F.filter(starts, hit), lambda start: F.array(*_bands(ordered, start))))
