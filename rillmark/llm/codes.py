@@ -19,7 +19,9 @@ is ever ordered in one task.
 
 from __future__ import annotations
 
+import string
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +39,8 @@ CHUNK_BITS = 8
 BLOCK = 512
 SEGMENT = 1_000_000
 REMEMBERED, LONGEST = 300_000, 48
-MARKS = b".,;:!?"
+#: ASCII punctuation but the apostrophe, which contractions begin with.
+MARKS = string.punctuation.replace("'", "").encode()
 SEPARATOR = "\ue000"
 _HEAD = struct.Struct("<4sHHIIQ")
 
@@ -130,11 +133,31 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # Letters as the tokenizer's model takes them: one character for each byte of UTF-8, printable ones as they are.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (byte for byte in range(256) if byte not in plain)
+        self.letters = {byte: byte for byte in plain} | {byte: 256 + number for number, byte in enumerate(others)}
+        probes = ["a", "thing", "Über", "ñandú", "ÉCOLE", "qzxk", "naïveté"]
+        self.direct = all(self._letters(probe) == np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()
+                          for probe in probes)
         self.between = np.array(self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids, "<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _letters(self, text: str) -> bytes | None:
+        """Ids of a word of Latin letters, which is one pre-token; None for any other."""
+        lowered = text.lower()
+        if not lowered.isalpha():
+            return None
+        if not lowered.isascii():
+            if len(lowered) != len(text) or max(text) >= "\u0250":
+                return None
+            lowered = lowered.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(lowered)]).tobytes()
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Joined by a separator, they take one call; its ids come from no other text."""
         texts = [word.decode() for word in words]
         if any(SEPARATOR in text for text in texts):
@@ -152,32 +175,44 @@ class Words:
     def load(path: str) -> Words:
         return Words(path)
 
-    def _known(self, word: bytes) -> bytes | None:
-        ids = self.young.get(word)
-        return self.old.get(word) if ids is None else ids
+    def _part(self, part: bytes) -> bytes | None:
+        """Ids of what is remembered, or of letters by the model itself; None for what the whole tokenizer must see."""
+        ids = self.young.get(part)
+        if ids is None and (ids := self.old.get(part)) is None and self.direct and (ids := self._letters(part.decode())) is not None:
+            if len(part) <= LONGEST:
+                self.young[part] = ids
+        return ids
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the young generation does not hold.
 
-        Marks after a letter or digit are tokens of their own, so a word is put together from its core and its tail.
+        Marks after a letter or digit are a token of their own, so a word is put together from its core and its tail.
         """
-        parts, unknown = {}, set()
+        found, pending, unknown = {}, [], set()
         for word in words:
-            if self._known(word) is None:
+            if (ids := self.old.get(word)) is None:
                 core = word.rstrip(MARKS)
-                if len(core) == len(word) or not core or not _letter_ends(core):
-                    core = word
-                parts[word] = core
-                unknown |= {part for part in (core, word[len(core):]) if part and self._known(part) is None}
-        unknown = list(unknown)
-        fresh = dict(zip(unknown, self._encode(unknown) if unknown else ()))
-        found = {}
-        for word in words:
-            core = parts.get(word, word)
-            found[word] = b"".join(self._known(part) if part not in fresh else fresh[part] for part in (core, word[len(core):]) if part)
+                if len(core) != len(word) and core and _letter_ends(core):
+                    parts = (core, word[len(core):])
+                    known = [self._part(part) for part in parts]
+                else:
+                    parts = (word,)
+                    known = [self._part(word)]
+                if None in known:
+                    unknown.update(part for part, one in zip(parts, known) if one is None)
+                    pending.append((word, parts))
+                    continue
+                ids = b"".join(known)
+            found[word] = ids
+        if unknown:
+            rest = list(unknown)
+            fresh = dict(zip(rest, self._joined(rest)))
+            for word, parts in pending:
+                found[word] = b"".join(fresh[part] if part in fresh else self._part(part) for part in parts)
+            self.young.update((part, ids) for part, ids in fresh.items() if len(part) <= LONGEST)
         if len(self.young) >= REMEMBERED:
             self.young, self.old = {}, self.young
-        self.young.update((word, ids) for known in (fresh, found) for word, ids in known.items() if len(word) <= LONGEST)
+        self.young.update((word, ids) for word, ids in found.items() if len(word) <= LONGEST)
         return found
 
     def packed(self, text: str) -> bytes:
@@ -201,13 +236,16 @@ def _letter_ends(word: bytes) -> bool:
 
 
 def encode(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``packed`` (little-endian 32-bit ids of the text, then ``end_id``), ``tie``."""
-    end = np.array([end_id], "<u4").tobytes()
+    """``doc_id``, ``packed`` (the ids of the text, then ``end_id``, as little-endian integers of ``Words.width`` bytes), ``tie``."""
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
         words = Words.load(path)
-        return pa.array([words.packed(value or "") + end for value in texts.to_pylist()], pa.binary())
+        kind, end, out = f"<u{words.width}", np.array([end_id], "<u4").tobytes(), []
+        for start in range(0, len(texts), 256):  # few texts at a time as Python strings
+            for text in texts.slice(start, 256).to_pylist():
+                out.append(np.frombuffer(words.packed(text or "") + end, "<u4").astype(kind).tobytes())
+        return pa.array(out, pa.binary())
 
     return df.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("tie"),
                      packed.asNondeterministic()(quoted(text).cast("string")).alias("packed"))
@@ -222,6 +260,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, ids, size = 0, [], [], 0
+        kind = f"<u{Words.load(tokenizer).width}"
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
@@ -232,7 +271,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "
         part = 0
         for batch in batches:
             for own, doc, packed in zip(*(batch.column(name).to_pylist() for name in ("part", "doc_id", "packed"))):
-                tokens = np.frombuffer(packed, "<u4")
+                tokens = np.frombuffer(packed, kind)
                 if held and (own != part or size + len(tokens) > segment):
                     yield close()
                     number, held, ids, size = number + 1, [], [], 0
