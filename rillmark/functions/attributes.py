@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Exact decimal arithmetic: sums do not depend on the order rows arrive in.  Spark keeps six
 # places through every sum and addition, so six is the scale throughout.
 AMOUNT_TYPE = "decimal(28,6)"
+NUMBER = r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
 
 
 def attribute(attributes: Column, key: str) -> Column:
@@ -16,9 +17,9 @@ def attribute(attributes: Column, key: str) -> Column:
 
 
 def number_or_zero(text: Column) -> Column:
-    """Parse a number; anything missing, malformed or padded with blanks is 0."""
-    unpadded = F.when(F.trim(text) == text, text)
-    return F.coalesce(unpadded.try_cast(AMOUNT_TYPE), F.lit(0).cast(AMOUNT_TYPE))
+    """Parse a number; anything missing, malformed or padded with white space is 0."""
+    number = F.when(F.rlike(text, F.lit(NUMBER)), text)
+    return F.coalesce(number.try_cast(AMOUNT_TYPE), F.lit(0).cast(AMOUNT_TYPE))
 
 
 def price_of(attributes: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import ratio
-from rillmark.operators.scan import positions, running
+from rillmark.operators.scan import null_safe_join, positions, running
 
 
 def dedup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def dedup_verdict(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     keys, order = list(keys), list(order)
     first = (rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
              .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order], F.lit(True).alias("_hit")))
-    return (rows.join(first, keys + order, "left")
+    return (null_safe_join(rows, first, keys + order, "left")
             .withColumn("accepted", F.col("_hit").isNotNull()).select(*rows.columns, "accepted"))
 
 

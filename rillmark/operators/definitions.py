@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillmark.schemas import SEGMENT
 
+# The names of the segment families.
 PURCHASE_COUNT = "purchase_count_min"
 PURCHASE_VALUE = "purchase_value_min"
 CART_ABANDON = "cart_abandon_days"

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions import at_least_zero, ratio
 from rillmark.operators.scan import running
@@ -26,14 +27,16 @@ def floor_rank_percentiles(rows: DataFrame, value: str, shares: Mapping[str, flo
                            low: str = "min_ms", high: str = "max_ms", stretch: int = 1000) -> DataFrame:
     """Percentiles as the element at rank ``max(1, floor(share * n))``, plus minimum, maximum and n.
 
-    Works on the histogram of whole-number values: rows are counted per value in
-    the map tasks, and only distinct values are ordered, ``stretch`` values per task.
+    Works on the histogram of the values, whole numbers as long and others as double: rows are counted
+    per value in the map tasks, and only distinct values are ordered, a range of ``stretch`` per task.
     No rows gives zeros.
     """
-    histogram = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("_value")).agg(
+    whole = isinstance(rows.schema[value].dataType, T.IntegralType)
+    kind = "long" if whole else "double"
+    histogram = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast(kind).alias("_value")).agg(
         F.count(F.lit(1)).alias("_rows"))
     ranked = running(histogram, [], "_value", stretch, sums=["_rows"], whole=["_rows"])
-    zero = F.lit(0).cast("long")
+    zero = F.lit(0).cast(kind)
 
     def at(share: float):
         rank = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(share)) * F.col("all__rows")))
@@ -42,7 +45,7 @@ def floor_rank_percentiles(rows: DataFrame, value: str, shares: Mapping[str, flo
     return ranked.agg(
         *[at(share).alias(name) for name, share in shares.items()],
         F.coalesce(F.min("_value"), zero).alias(low), F.coalesce(F.max("_value"), zero).alias(high),
-        F.coalesce(F.max("all__rows"), zero).alias("n"))
+        F.coalesce(F.max("all__rows"), F.lit(0).cast("long")).alias("n"))
 
 
 def approximate_percentiles(rows: DataFrame, value: str, shares: Mapping[str, float]) -> DataFrame:
@@ -84,8 +87,8 @@ def latest_time(rows: DataFrame) -> DataFrame:
 
 
 def as_of(rows: DataFrame) -> int:
-    """The newest event time as a plain number, for use as a literal in later filters."""
-    return latest_time(rows).first()["as_of_ms"]
+    """The newest event time as a plain number, for use as a literal in later filters; 0 for no rows."""
+    return latest_time(rows).first()["as_of_ms"] or 0
 
 
 def speed_up(slow: float, fast: float) -> float | None:
@@ -94,4 +97,4 @@ def speed_up(slow: float, fast: float) -> float | None:
 
 def series(values: Sequence[float], spark) -> DataFrame:
     """A short list of measurements, such as query times, as a frame."""
-    return spark.createDataFrame([(int(v),) for v in values], "value long")
+    return spark.createDataFrame([(float(v),) for v in values], "value double")

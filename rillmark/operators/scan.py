@@ -6,7 +6,7 @@ cut into stretches of ``width`` along ``at``: stretch totals are summed up per
 key (few rows, combined before the shuffle), and the rows themselves are only
 ordered within their own stretch.
 
-Keys are never NULL: the record types default them to the empty string.
+NULL is a key like any other, and NULL orders before everything else.
 """
 
 from __future__ import annotations
@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 STRETCH = "_stretch"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where NULL equals NULL; keeps the columns of ``left`` and the others of ``right``."""
+    renamed = right.select([F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    condition = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys]
+    return left.join(renamed, condition, how).drop(*[f"_key_{key}" for key in keys])
+
+
 def stretch_of(at: str, width: int) -> Column:
     return F.floor(F.col(at) / F.lit(width)).cast("long")
 
@@ -43,7 +50,7 @@ def running(points: DataFrame, keys: Sequence[str], at: str, width: int,
         *[F.sum(f"_total_{c}").over(before).alias(f"_before_{c}") for c in sums],
         *[F.max(f"_total_{c}").over(before).alias(f"_before_{c}") for c in highs],
         *[F.sum(f"_total_{c}").over(W.partitionBy(*keys)).alias(f"all_{c}") for c in whole])
-    joined = cut.join(carried, [*keys, STRETCH])
+    joined = null_safe_join(cut, carried, [*keys, STRETCH])
     here = W.partitionBy(*keys, STRETCH).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
     return joined.select(
         *points.columns, STRETCH,
@@ -86,6 +93,6 @@ def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width:
     before = W.partitionBy(*keys).orderBy(STRETCH).rowsBetween(W.unboundedPreceding, -1)
     carried = counts.select(*keys, STRETCH, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     here = W.partitionBy(*keys, STRETCH).orderBy(*order)
-    return (cut.join(carried, [*keys, STRETCH])
+    return (null_safe_join(cut, carried, [*keys, STRETCH])
             .withColumn(name, F.row_number().over(here) + F.col("_before"))
             .drop("_before", STRETCH))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.functions import DAY_MS, price_of
+from rillmark.operators.dedup import shard_of
 from rillmark.operators.definitions import Segment
 from rillmark.operators.segments import Measures, is_cart, is_purchase, is_view, members_from, text_literal, viewed_category
 
@@ -31,7 +32,7 @@ FACTS = T.StructType([
 
 
 def profile_shard(profile: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(profile), F.lit(shards)).cast("int")
+    return shard_of(profile, shards)
 
 
 def facts_of(events: DataFrame, shards: int) -> DataFrame:
@@ -64,12 +65,19 @@ def trim_facts(facts: DataFrame, segments: Sequence[Segment], newest_ms: int) ->
     return facts.where((F.col("facet") != "bought_at") | (F.col("last_ms") >= oldest))
 
 
-def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int) -> DataFrame:
-    """``(segment_id, profile_id)`` as of a time not before the newest event folded in."""
+def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int | None = None) -> DataFrame:
+    """``(segment_id, profile_id)`` as of a time not before the newest event folded in.
+
+    Without ``as_of`` each profile is decided as of its own newest event.
+    """
     measures = Measures(segments)
+    merged, now = merge_facts(facts), f"{as_of}L"
+    if as_of is None:
+        own = merged.where("facet = 'seen'").groupBy("shard", "profile_id").agg(F.max("last_ms").alias("now"))
+        merged, now = merged.join(own, ["shard", "profile_id"]), "now"
 
     def within(days: int) -> str:
-        return f"facet = 'bought_at' AND last_ms BETWEEN {as_of - days * DAY_MS}L AND {as_of}L"
+        return f"facet = 'bought_at' AND last_ms BETWEEN {now} - {days * DAY_MS}L AND {now}"
 
     def total(chosen: str, value: str = "n") -> str:
         return f"coalesce(sum(CASE WHEN {chosen} THEN {value} END), 0L)"
@@ -77,7 +85,8 @@ def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int
     def newest(facet: str) -> str:
         return f"coalesce(max(CASE WHEN facet = '{facet}' THEN last_ms END), 0L)"
 
-    rows = merge_facts(facts).groupBy("profile_id").agg(*map(F.expr, [
+    rows = merged.groupBy("profile_id").agg(*map(F.expr, [
+        f"max({now}) AS now",
         total("facet = 'seen'") + " AS events_n", total("facet = 'bought'") + " AS purchases_n",
         newest("seen") + " AS last_event_ms", newest("cart") + " AS last_cart_ms",
         newest("bought") + " AS last_purchase_ms", "count_if(facet = 'view') AS categories_n",
@@ -85,4 +94,4 @@ def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int
         *[f"{total(within(days), 'amount')} AS {measures.spend(days)}" for days in measures.value_days],
         *[total("facet = 'view' AND item = " + text_literal(c)) + f" AS {measures.views(c)}"
           for c in measures.categories]]))
-    return members_from(rows, segments, f"{as_of}L")
+    return members_from(rows, segments, "now")

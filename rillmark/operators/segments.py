@@ -253,11 +253,12 @@ def profile_segments(membership: DataFrame) -> DataFrame:
 
 def membership_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs to add to and to remove from ``before`` to reach ``after``."""
-    rows = (before.select("segment_id", "profile_id", F.lit(-1).alias("_side"))
-            .unionByName(after.select("segment_id", "profile_id", F.lit(1).alias("_side"))).distinct())
-    sides = rows.groupBy("segment_id", "profile_id").agg(F.sum("_side").alias("_side"))
-    change = F.when(F.col("_side") > 0, "added").otherwise("removed")
-    return sides.where(F.col("_side") != 0).select("segment_id", "profile_id", change.alias("change"))
+    rows = (before.select("segment_id", "profile_id", F.lit(False).alias("_after"))
+            .unionByName(after.select("segment_id", "profile_id", F.lit(True).alias("_after"))))
+    sides = rows.groupBy("segment_id", "profile_id").agg(
+        F.bool_or("_after").alias("_new"), F.bool_or(~F.col("_after")).alias("_old"))
+    change = F.when(F.col("_new"), "added").otherwise("removed")
+    return sides.where(F.col("_new") != F.col("_old")).select("segment_id", "profile_id", change.alias("change"))
 
 
 def apply_delta(before: DataFrame, delta: DataFrame) -> DataFrame:

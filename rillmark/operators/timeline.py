@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import DAY_MS, HOUR_MS, MINUTE_MS, price_of
 from rillmark.operators.definitions import Segment
-from rillmark.operators.scan import STRETCH, positions, previous, running
+from rillmark.operators.scan import STRETCH, null_safe_join, positions, previous, running
 from rillmark.operators.segments import Measures, candidate_segments, is_cart, is_purchase, viewed_category
 
 SUM_TYPE = "decimal(38,6)"
@@ -71,7 +71,7 @@ def rolling_purchases(events: DataFrame, days: Sequence[int] = (30,), stretch_ms
         "profile_id", F.col("at").alias("timestamp_ms"),
         *[F.col(f"run_buys_{day}d").cast("long").alias(f"n_{day}d") for day in days],
         *[F.col(f"run_spend_{day}d").alias(f"value_{day}d") for day in days])
-    return purchases.select("profile_id", "timestamp_ms", "event_id").join(totals, ["profile_id", "timestamp_ms"])
+    return null_safe_join(purchases.select("profile_id", "timestamp_ms", "event_id"), totals, ["profile_id", "timestamp_ms"])
 
 
 def membership_timeline(events: DataFrame, segments: Sequence[Segment], stretch_ms: int = HOUR_MS) -> DataFrame:

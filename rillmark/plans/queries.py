@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +20,13 @@ from rillmark.plans.samples import ARRIVAL_ORDER, JANUARY_END_MS
 from rillmark.schemas import DELIVERY_WEBHOOK, READING, STOREFRONT_EVENT
 from rillmark.session import new_path
 from rillmark.sinks import (
-    ensure_table, read_keyed, read_membership, to_json_rows, truncate_table, write_keyed, write_membership,
+    ensure_table, json_body, read_keyed, read_membership, to_json_rows, truncate_table, write_keyed, write_membership,
 )
 from rillmark.sources import decode_records, parquet_topic, parse_webhooks, read_topic_snapshot, read_topic_stream
-from rillmark.streaming.delivery import minute_rollup_stream, read_rollup
+from rillmark.streaming.delivery import minute_rollup_stream, minute_windows_stream, read_rollup, read_windows
 from rillmark.streaming.replay import deliver_with_replay, drain_undelivered
-from rillmark.streaming.dedup import dedup_stream
+from rillmark.streaming.dedup import dedup_bounded_stream, dedup_stream
+from rillmark.streaming.lag import event_lag_stream
 from rillmark.streaming.running import append_files, finish, rocksdb_state
 from rillmark.streaming.segments import current_segments, finalize_segments, incremental_segments
 from rillmark.streaming.store import append_event_store
@@ -61,12 +63,27 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staged_stream(spark: SparkSession, rows: DataFrame, order: list[str], files: int) -> DataFrame:
-    """``rows`` as a file topic in arrival order, read one file per micro-batch."""
+    """``rows`` as a file topic in arrival order, read in several micro-batches."""
     path = new_path(spark, "topic")
     rows.repartitionByRange(files, *order).write.parquet(path)
     return read_topic_stream(spark, parquet_topic(path, rows.schema, maxFilesPerTrigger="1"))
 
 
+def _arriving(rows: DataFrame) -> DataFrame:
+    """Out of order: any time can come in any micro-batch."""
+    return rows.withColumn("arrival", F.col("n") * 7919 % 1000003)
+
+
+def _one_by_one(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
+    """``rows`` as a file topic whose files really are read in arrival order: each is written after the one before."""
+    path = new_path(spark, "topic")
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.floor((F.col("arrival") - F.lit(low)) * files / F.lit(high - low + 1))
+    for number in range(files):
+        rows.where(part == number).coalesce(1).write.mode("append").parquet(path)
+    return read_topic_stream(spark, parquet_topic(path, rows.schema, maxFilesPerTrigger="1"))
+
+
 def _membership(spark, sf_dir, days_back: int = 0) -> DataFrame:
     events = _storefront(spark, sf_dir)
     return segments.evaluate_segments(events, standard_segments(), metrics.as_of(events) - days_back * DAY_MS)
@@ -99,7 +116,9 @@ def topic_stream(spark, sf_dir):
 @register
 def decode_records(spark, sf_dir, _decode=decode_records):
     events = samples.events(spark, sf_dir).select("event_id", "props")
-    payloads = F.when(F.col("event_id") % 50 == 0, F.array(F.col("props"), F.lit("{"))).otherwise(F.array("props"))
+    broken, empty = F.col("event_id") % 50 == 0, F.col("event_id") % 50 == 1
+    payloads = (F.when(broken, F.array(F.col("props"), F.lit("{"))).when(empty, F.array(F.col("props"), F.lit("{}")))
+                .otherwise(F.array("props")))
     received = events.select("event_id", F.explode(payloads).alias("payload"))
     schema = T.StructType([T.StructField("k", T.LongType())])
     return _decode(received, "payload", schema, keep=("event_id",))
@@ -111,8 +130,9 @@ def parse_webhooks(spark, sf_dir, _parse=parse_webhooks):
     sent = _webhooks(spark, sf_dir).select(F.to_json(F.struct(
         F.when(n % 40 == 0, "").otherwise(F.col("webhook_id")).alias("webhook_id"), "message_id",
         F.when(n % 60 == 0, "").otherwise(F.col("channel")).alias("channel"), "status", "provider",
-        F.when(n % 30 == 0, 0).otherwise(F.col("timestamp_ms")).alias("timestamp_ms"))).alias("body"))
-    return _parse(sent, JANUARY_END_MS)
+        F.when(n % 30 == 0, 0).otherwise(F.col("timestamp_ms")).alias("timestamp_ms"))).alias("body"), "n")
+    broken = F.when(n % 50 == 0, F.array(F.col("body"), F.lit("{"), F.lit("[1]"))).otherwise(F.array("body"))
+    return _parse(sent.select(F.explode(broken).alias("body")), JANUARY_END_MS)
 
 
 @register
@@ -120,16 +140,25 @@ def keyed_partitions(spark, sf_dir):
     readings = _readings(spark, sf_dir).select(*READING.names)
     path = new_path(spark, "keyed")
     write_keyed(readings, "device_id", {"format": "parquet", "path": path}, ["timestamp_ms", "sequence"])
-    return read_keyed(spark, path, READING).groupBy("device_id").agg(
-        F.count_distinct("partition").alias("n_partitions"))
+    # Rows as they lie in the files, with the row before of the same device.
+    found = read_keyed(spark, path, READING).select("*", "_metadata.file_name", "_metadata.row_index")
+    here = F.struct("timestamp_ms", "sequence")
+    before = F.lag(here).over(W.partitionBy("device_id").orderBy("file_name", "row_index"))
+    return found.withColumn("misplaced", F.coalesce(before > here, F.lit(False))).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("partition").alias("n_partitions"),
+        F.count_if("misplaced").alias("n_misplaced"))
 
 
 @register
 def event_store_append(spark, sf_dir):
-    rows = samples.storefront(_event_stream(spark, sf_dir)).select(*STOREFRONT_EVENT.names)
+    """Three micro-batches in arrival order, read back whole."""
+    rows = _arriving(_storefront(spark, sf_dir)).select(*STOREFRONT_EVENT.names, "arrival")
     path = new_path(spark, "event-store")
-    finish(append_event_store(rows, f"{path}/rows", f"{path}/checkpoint"))
-    return spark.read.schema(STOREFRONT_EVENT).parquet(f"{path}/rows").select("event_id")
+    stream = _staged_stream(spark, rows, ["arrival"], 3).drop("arrival")
+    finish(append_event_store(stream, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/rows").select(
+        "event_id", "profile_id", "event_type", "timestamp_ms", F.col("attributes")["category"].alias("category"),
+        F.col("attributes")["price"].alias("price"), F.col("event_date").cast("string").alias("event_date"))
 
 
 @register
@@ -169,7 +198,7 @@ def table_reset(spark, sf_dir):
 def membership_snapshot(spark, sf_dir):
     before, after = _membership(spark, sf_dir, 7), _membership(spark, sf_dir)
     path = new_path(spark, "membership")
-    write_membership(before.withColumn("change", F.lit("added")), path, 0, shards=4)
+    write_membership(before.withColumn("change", F.lit("added")), path, 0)
     write_membership(segments.membership_delta(read_membership(spark, path), after), path, 1)
     return read_membership(spark, path)
 
@@ -182,9 +211,7 @@ def membership_delta(spark, sf_dir):
 @register
 def summary_json(spark, sf_dir):
     rows = delivery.summary(delivery.minute_rollup(_webhooks(spark, sf_dir)))
-    # At most a handful of statuses per channel.
-    per_channel = rows.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("status", "count"))).alias("rows"))
-    return per_channel.select("channel", F.to_json(F.struct("rows")).alias("body"))
+    return json_body(rows, "2024-02-01T00:00:00Z")
 
 
 @register
@@ -262,8 +289,30 @@ def dedup_counts(spark, sf_dir):
 
 @register
 def dedup_bounded(spark, sf_dir):
+    """A memory so small that it forgets."""
+    rows = samples.delivered(_readings(spark, sf_dir)).select("device_id", "sequence", *ARRIVAL_ORDER)
+    return bounded.dedup_bounded(rows, "device_id", "sequence", ARRIVAL_ORDER, 3).select("device_id", "sequence", "copy")
+
+
+@register
+def dedup_bounded_stream(spark, sf_dir, _stream=dedup_bounded_stream):
     rows = samples.delivered(_readings(spark, sf_dir)).select("device_id", "sequence", *ARRIVAL_ORDER)
-    return bounded.dedup_bounded(rows, "device_id", "sequence", ARRIVAL_ORDER).select("device_id", "sequence")
+    path = new_path(spark, "bounded")
+    with rocksdb_state(spark):
+        stream = _stream(_one_by_one(spark, rows, 3), "device_id", "sequence", ARRIVAL_ORDER, 3)
+        finish(append_files(stream, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows").select("device_id", "sequence", "copy")
+
+
+@register
+def dedup_stream_late(spark, sf_dir, _stream=dedup_stream):
+    """A topic out of order: every id comes through, however late."""
+    rows = samples.delivered(_storefront(spark, sf_dir)).select("event_id", "timestamp_ms", *ARRIVAL_ORDER)
+    path = new_path(spark, "dedup-stream")
+    with rocksdb_state(spark):
+        stream = _stream(_staged_stream(spark, rows, ARRIVAL_ORDER, 3), ["event_id"]).select("event_id", "timestamp_ms")
+        finish(append_files(stream, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @register
@@ -315,7 +364,7 @@ def rollup_reconcile(spark, sf_dir):
     webhooks = _webhooks(spark, sf_dir)
     rollup = delivery.minute_rollup(webhooks)
     minute_number = F.call_function("div", F.unix_seconds("minute"), F.lit(60).cast("long"))
-    damaged = rollup.where(~((F.col("channel") == "email") & (minute_number % 7 == 0)))
+    damaged = rollup.where(~((F.col("channel") == "mail") & (minute_number % 7 == 0)))
     return reconcile.reconcile(delivery.recompute_counts(webhooks), delivery.rollup_counts(damaged),
                                ["channel", "status"], "count")
 
@@ -328,8 +377,8 @@ def lost_records(spark, sf_dir):
 
 @register
 def state_digest(spark, sf_dir):
-    cents = F.round(F.col("value") * 100).cast("long")
-    return digest.state_digest(_readings(spark, sf_dir), "device_id", "sequence", cents)
+    thousandths = F.round(F.col("value") * 1000).cast("long")
+    return digest.state_digest(_readings(spark, sf_dir), "device_id", "sequence", thousandths)
 
 
 @register
@@ -337,12 +386,26 @@ def table_digest(spark, sf_dir):
     return digest.table_digest(state_digest(spark, sf_dir), "device_id")
 
 
+def _sent_and_received(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Some receipts are lost, some come before they were sent, some only days later."""
+    events, n = _storefront(spark, sf_dir), F.col("n")
+    late = F.when(n % 40 == 1, -10).when(n % 40 == 2, 300_000_000).otherwise(n * 37 % 250)
+    return events.select("event_id", F.col("timestamp_ms").alias("sent_ms")), events.where(n % 50 != 0).select(
+        "event_id", (F.col("timestamp_ms") + late).alias("received_ms"))
+
+
 def _lags(spark, sf_dir):
-    events = _storefront(spark, sf_dir)
-    sent = events.select("event_id", F.col("timestamp_ms").alias("sent_ms"))
-    received = events.where(F.col("n") % 50 != 0).select(
-        "event_id", (F.col("timestamp_ms") + F.col("n") * 37 % 250).alias("received_ms"))
-    return metrics.event_lag(sent, received, "event_id")
+    return metrics.event_lag(*_sent_and_received(spark, sf_dir), "event_id")
+
+
+@register
+def event_lag_stream(spark, sf_dir, _stream=event_lag_stream):
+    sent, received = _sent_and_received(spark, sf_dir)
+    path = new_path(spark, "lag-stream")
+    with rocksdb_state(spark):
+        lags = _stream(_staged_stream(spark, sent, ["sent_ms"], 2), _staged_stream(spark, received, ["received_ms"], 2), "event_id")
+        finish(append_files(lags, f"{path}/rows", f"{path}/checkpoint"))
+    return spark.read.schema(lags.schema).parquet(f"{path}/rows")
 
 
 @register
@@ -355,6 +418,12 @@ def lag_percentiles(spark, sf_dir):
     return metrics.floor_rank_percentiles(_lags(spark, sf_dir), "lag_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+@register
+def lag_percentiles_fractional(spark, sf_dir):
+    lags = _lags(spark, sf_dir).select((F.col("lag_ms") / 8).alias("lag_ms"))
+    return metrics.floor_rank_percentiles(lags, "lag_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @register
 def consumer_lag(spark, sf_dir):
     rows = _storefront(spark, sf_dir).withColumn("partition", (F.col("n") % 6).cast("int"))
@@ -431,12 +500,22 @@ def minute_rollup_merge(spark, sf_dir):
 
 @register
 def minute_rollup_stream(spark, sf_dir, _stream=minute_rollup_stream):
-    webhooks = samples.webhooks(_event_stream(spark, sf_dir))
+    """Four micro-batches out of order, so that most minutes are added to more than once."""
+    rows = _arriving(_webhooks(spark, sf_dir)).select(*DELIVERY_WEBHOOK.names, "arrival")
     path = new_path(spark, "rollup")
-    finish(_stream(webhooks, f"{path}/rollup", f"{path}/checkpoint"))
+    finish(_stream(_staged_stream(spark, rows, ["arrival"], 4), f"{path}/rollup", f"{path}/checkpoint"))
     return read_rollup(spark, f"{path}/rollup")
 
 
+@register
+def minute_windows(spark, sf_dir):
+    rows = _arriving(_webhooks(spark, sf_dir)).select(*DELIVERY_WEBHOOK.names, "arrival")
+    path = new_path(spark, "windows")
+    with rocksdb_state(spark):
+        finish(minute_windows_stream(_staged_stream(spark, rows, ["arrival"], 3), f"{path}/rows", f"{path}/checkpoint"))
+    return read_windows(spark, f"{path}/rows")
+
+
 def _dashboard_start(webhooks) -> int:
     return metrics.as_of(webhooks) - 6 * HOUR_MS
 
@@ -488,17 +567,15 @@ def profile_timeline(spark, sf_dir):
 
 @register
 def rolling_purchases(spark, sf_dir):
-    return timeline.rolling_purchases(_storefront(spark, sf_dir), (30,)).select(
-        "event_id", "n_30d", F.col("value_30d").cast("double").alias("value_30d"))
-
-
-TIMELINE_SEGMENTS = ("purchase_count_min_2_30d", "never_purchased", "category_view_min_electronics_3")
+    days = (7, 30, 90)
+    rows = timeline.rolling_purchases(_storefront(spark, sf_dir), days)
+    return rows.select("event_id", *[f"n_{d}d" for d in days],
+                       *[F.col(f"value_{d}d").cast("double").alias(f"value_{d}d") for d in days])
 
 
 @register
 def membership_timeline(spark, sf_dir):
-    chosen = [s for s in standard_segments() if s.id in TIMELINE_SEGMENTS]
-    return timeline.membership_timeline(_storefront(spark, sf_dir), chosen).select(
+    return timeline.membership_timeline(_storefront(spark, sf_dir), standard_segments()).select(
         "profile_id", "event_id", "segment_id", "change")
 
 
@@ -539,16 +616,17 @@ def segment_membership_all(spark, sf_dir):
 
 @register
 def segments_incremental(spark, sf_dir):
-    """The membership the stream itself writes, without a final pass."""
+    """The membership the stream itself writes over three micro-batches out of order, without a final pass."""
     path = new_path(spark, "segments")
-    events = samples.storefront(_event_stream(spark, sf_dir))
-    finish(incremental_segments(events, standard_segments(), path, f"{path}/checkpoint", shards=4))
+    rows = _arriving(_storefront(spark, sf_dir)).select(*STOREFRONT_EVENT.names, "arrival")
+    events = _staged_stream(spark, rows, ["arrival"], 3)
+    finish(incremental_segments(events, standard_segments(), path, f"{path}/checkpoint"))
     return current_segments(spark, path)
 
 
 def _finalized(spark, stream: DataFrame) -> DataFrame:
     path = new_path(spark, "segments")
-    finish(incremental_segments(stream, standard_segments(), path, f"{path}/checkpoint", shards=4))
+    finish(incremental_segments(stream, standard_segments(), path, f"{path}/checkpoint"))
     return finalize_segments(spark, path, standard_segments())
 
 
@@ -558,13 +636,13 @@ def segments_finalize(spark, sf_dir):
     rows = samples.delivered(_storefront(spark, sf_dir))
     stream = _staged_stream(spark, rows, ARRIVAL_ORDER, 2)
     with rocksdb_state(spark):
-        return _finalized(spark, dedup_stream(stream, ["event_id"], "200 days"))
+        return _finalized(spark, dedup_stream(stream, ["event_id"]))
 
 
 @register
 def segments_validate(spark, sf_dir):
     """The incremental result of a shuffled topic, read in three micro-batches, against the full one."""
-    rows = _storefront(spark, sf_dir).withColumn("arrival", F.col("n") * 7919 % 1000003)
+    rows = _arriving(_storefront(spark, sf_dir))
     incremental = _finalized(spark, _staged_stream(spark, rows, ["arrival", "n"], 3))
     return reconcile.diff_sets(incremental, _membership(spark, sf_dir), "segment_id", "profile_id",
                                _segment_groups(spark))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.operators.definitions import CATEGORIES
+
 JANUARY_END_MS = 1_706_745_600_000
 JANUARY_START_MS = 1_704_067_200_000
 
@@ -52,7 +54,7 @@ def _pick(number: Column, names: list[str]) -> Column:
 
 def storefront(rows: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    by_number = _pick(F.col("k"), ["electronics", "apparel", "home", "beauty", "sports", "books", "toys", "grocery"])
+    by_number = _pick(F.col("k"), list(CATEGORIES))
     category = (F.when(F.col("k") == 99, F.lit(None).cast("string"))
                 .when(F.col("k") < 30, F.lit("electronics")).otherwise(by_number))
     price = F.when(kind.isin("click", "purchase"),
@@ -75,11 +77,11 @@ def webhooks(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.concat(F.lit("wh-"), F.lpad(F.col("n").cast("string"), 9, "0")).alias("webhook_id"),
         F.concat(F.lit("msg-"), F.lpad(message.cast("string"), 9, "0")).alias("message_id"),
-        _pick(message, ["email", "sms", "whatsapp"]).alias("channel"),
+        _pick(message, ["mail", "text", "push"]).alias("channel"),
         F.when(F.col("n") % 2 == 0, "sent").when(F.col("k") < 90, "delivered")
          .when(F.col("k") < 97, "bounced").otherwise("failed").alias("status"),
         (F.lit(JANUARY_START_MS) + spread).alias("timestamp_ms"),
-        _pick(message, ["sendgrid", "twilio", "meta_whatsapp"]).alias("provider"),
+        _pick(message, ["north", "south", "west"]).alias("provider"),
         "n",
     )
 

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.operators.dedup import shard_of
+
 DEFAULT_PARTITIONS = 6
 
 
 def assign_partition(key: Column, partitions: int = DEFAULT_PARTITIONS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    return shard_of(key, partitions)
 
 
 def keyed_messages(df: DataFrame, key: str) -> DataFrame:

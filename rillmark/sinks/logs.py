@@ -16,14 +16,11 @@ from pyspark.sql import types as T
 from rillmark.session import child_names, path_exists, touch
 
 MARKER = "_SUCCESS"
-DEFAULT_SHARDS = 64
+DEFAULT_SHARDS = 16
 
 
-def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: str | None = None,
-                 files: int | None = None) -> None:
-    """Write what a batch adds.  Micro-batches run without adaptive execution and would
-    leave one file per shuffle partition; ``files`` bounds them where the rows are few."""
-    df = df.coalesce(files) if files else df
+def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: str | None = None) -> None:
+    """Write what a batch adds."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)

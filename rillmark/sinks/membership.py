@@ -22,7 +22,9 @@ CHANGES = T.StructType([*MEMBERSHIP.fields, T.StructField("change", T.StringType
 
 
 def _laid_out(changes: DataFrame) -> DataFrame:
-    return changes.repartition("shard").sortWithinPartitions("shard", "segment_id")
+    # Four tasks and files per shard, so that a hot profile's shard is not one task.
+    part = F.pmod(F.xxhash64("segment_id", "profile_id"), F.lit(4))
+    return changes.repartition("shard", part).sortWithinPartitions("shard", "segment_id")
 
 
 def write_membership(delta: DataFrame, path: str, batch_id: int, shards: int | None = None) -> None:

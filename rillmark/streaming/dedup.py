@@ -14,19 +14,14 @@ from rillmark.operators.bounded import DEFAULT_CAP, Memory
 from rillmark.operators.dedup import shard_of
 
 
-def dedup_stream(stream: DataFrame, keys: Sequence[str], horizon: str = "1 day",
-                 time_ms: str = "timestamp_ms") -> DataFrame:
-    """First arrival of each key; a repeat is recognised for ``horizon`` of event time.
-
-    Choose the horizon no shorter than the longest retry delay: records older than
-    it, counted from the newest seen, are dropped and show in ``late_rows``.  The
-    watermark starts at 1970, so times up to then count as late too.  The keys of a
-    whole horizon are state: start the query inside ``rocksdb_state`` to keep them
-    on disk and not on the heap.
+def dedup_stream(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First arrival of each key, however late it comes.
+
+    Every key seen is state, spread over the shuffle partitions: start the query
+    inside ``rocksdb_state`` to keep it on disk and not on the heap.  There is no
+    watermark, since one would drop late records that were never seen.
     """
-    timed = stream.withColumn("_event_time", F.timestamp_millis(F.col(time_ms)))
-    return (timed.withWatermark("_event_time", horizon)
-            .dropDuplicatesWithinWatermark(list(keys)).drop("_event_time"))
+    return stream.dropDuplicates(list(keys))
 
 
 class _FifoMemory(StatefulProcessor):

@@ -18,7 +18,7 @@ def minute_rollup_stream(webhooks: DataFrame, path: str, checkpoint: str, trigge
     No row is ever too late, since a late webhook just adds to its minute, and
     the rollup is never empty while it is refreshed.
     """
-    return each_batch(webhooks, lambda batch, batch_id: append_batch(minute_rollup(batch), path, batch_id, files=8),
+    return each_batch(webhooks, lambda batch, batch_id: append_batch(minute_rollup(batch), path, batch_id),
                       checkpoint, trigger)
 
 
@@ -30,13 +30,22 @@ def compact_rollup(spark: SparkSession, path: str) -> int | None:
     return compact_log(spark, path, MINUTE_ROLLUP, merge_rollup)
 
 
-def minute_windows(webhooks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """The rollup as a windowed streaming aggregate, for sinks that take final rows.
+def minute_windows(webhooks: DataFrame) -> DataFrame:
+    """The rollup as a windowed streaming aggregate, for queries in update or complete mode.
 
-    Webhooks later than ``lateness`` are dropped here, unlike above.
+    Without a watermark no webhook is too late: its window is just updated again.
     """
-    timed = webhooks.withColumn("_event_time", F.timestamp_millis(F.col("timestamp_ms")))
-    counts = (timed.withWatermark("_event_time", lateness)
-              .groupBy(F.window("_event_time", "1 minute"), "channel", "status")
-              .agg(F.count(F.lit(1)).alias("event_count")))
+    counts = webhooks.groupBy(F.window(F.timestamp_millis(F.col("timestamp_ms")), "1 minute"), "channel", "status").agg(
+        F.count(F.lit(1)).alias("event_count"))
     return counts.select(F.col("window.start").alias("minute"), "channel", "status", "event_count")
+
+
+def minute_windows_stream(webhooks: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the windows each micro-batch changed; ``read_windows`` takes the last count of each."""
+    return each_batch(minute_windows(webhooks), lambda batch, batch_id: append_batch(batch, path, batch_id), checkpoint,
+                      trigger, mode="update")
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    rows = read_log(spark, path, MINUTE_ROLLUP)
+    return rows.groupBy("minute", "channel", "status").agg(F.max_by("event_count", "batch_id").alias("event_count"))

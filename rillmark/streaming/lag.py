@@ -4,17 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def event_lag_stream(sent: DataFrame, received: DataFrame, id_column: str, longest: str = "10 minutes") -> DataFrame:
-    """Streaming form of ``event_lag``; pairs further apart than ``longest`` are not matched.
+def event_lag_stream(sent: DataFrame, received: DataFrame, id_column: str) -> DataFrame:
+    """Streaming form of ``event_lag``: every pair, however slow or early the receipt.
 
-    The time bound lets the join forget old rows on both sides.
+    Both sides are state, since a receipt may come at any time; keep it in RocksDB
+    (``rocksdb_state``).
     """
-    left = sent.select(F.col(id_column).alias("_sent_id"), "sent_ms",
-                       F.timestamp_millis("sent_ms").alias("_sent_at")).withWatermark("_sent_at", longest)
-    right = received.select(id_column, "received_ms",
-                            F.timestamp_millis("received_ms").alias("_received_at")).withWatermark(
-        "_received_at", longest)
-    in_time = (F.col("_received_at") >= F.col("_sent_at")) & (
-        F.col("_received_at") <= F.col("_sent_at") + F.expr(f"INTERVAL {longest}"))
-    pairs = right.join(left, (F.col(id_column) == F.col("_sent_id")) & in_time)
+    left = sent.select(F.col(id_column).alias("_sent_id"), "sent_ms")
+    pairs = received.select(id_column, "received_ms").join(left, F.col(id_column) == F.col("_sent_id"))
     return pairs.select(id_column, (F.col("received_ms") - F.col("sent_ms")).alias("lag_ms"))

@@ -7,8 +7,10 @@ Delivery is at least once: a sink that failed half way gets rows twice.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,13 +22,17 @@ from rillmark.streaming.running import each_batch
 # nothing counts as delivered, or returns the rows it could not deliver, or None.
 Sink = Callable[[DataFrame, str], "DataFrame | None"]
 
+_LOG = logging.getLogger(__name__)
 _PARCEL = "parcel="
 
 
 def _offer(rows: DataFrame, name: str, sink: Sink) -> DataFrame | None:
     try:
         failed = sink(rows, name)
-    except Exception:
+    except (AnalysisException, TypeError, NameError, AttributeError):
+        raise  # a mistake in the program, which no replay mends
+    except Exception as cause:
+        _LOG.warning("parcel %s was not delivered: %s", name, cause)
         return rows
     return None if failed is None or failed.isEmpty() else failed
 
@@ -82,10 +88,10 @@ def replay_undelivered(spark: SparkSession, path: str, schema: T.StructType, sin
     return len(open_parcels(spark, path))
 
 
-def drain_undelivered(spark: SparkSession, path: str, schema: T.StructType, sink: Sink, rounds: int = 10) -> int:
-    """Replay until nothing is open or ``rounds`` are over; returns how many parcels stay open."""
-    left = len(open_parcels(spark, path))
-    while left and rounds:
-        left = replay_undelivered(spark, path, schema, sink)
-        rounds -= 1
-    return left
+def drain_undelivered(spark: SparkSession, path: str, schema: T.StructType, sink: Sink) -> int:
+    """Replay as long as a round delivers something; returns how many parcels stay open."""
+    left, before = open_parcels(spark, path), None
+    while left and left != before:
+        replay_undelivered(spark, path, schema, sink)
+        left, before = open_parcels(spark, path), left
+    return len(left)

@@ -23,7 +23,7 @@ from rillmark.sinks.membership import CHANGES, read_membership, write_membership
 from rillmark.streaming.running import each_batch
 
 # Change numbers between two micro-batches, for final passes.
-_STEP = 1_000
+_STEP = 1 << 20
 
 
 def _facts_path(path: str) -> str:
@@ -38,7 +38,8 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: S
                shards: int | None = None) -> None:
     """Add one micro-batch and write the membership changes of the profiles in it.
 
-    They are decided as of the newest event in the batch.  ``spark`` is the session
+    Each profile is decided as of its own newest event, so a late batch undoes nothing.
+    ``spark`` is the session
     the stream was built in: the session of a micro-batch runs without adaptive
     execution, which the joins on the logs should have.
     """
@@ -48,13 +49,12 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: S
     append_batch(facts_of(batch, shards).repartition("shard", spread), _facts_path(path), batch_id, "shard")
     fresh = read_log(spark, _facts_path(path), FACTS).where(F.col("batch_id") == batch_id)
     # At most one row per shard; as literals they pick the folders to read.
-    per_shard = fresh.groupBy("shard").agg(F.max("last_ms").alias("newest")).collect()
-    if not per_shard:
+    in_shards = [row["shard"] for row in fresh.select("shard").distinct().collect()]
+    if not in_shards:
         return
-    newest, in_shards = max(row["newest"] for row in per_shard), [row["shard"] for row in per_shard]
     touched = fresh.select("shard", "profile_id").distinct()
     log = read_log(spark, _facts_path(path), FACTS).where(F.col("shard").isin(in_shards))
-    after = members_from_facts(log.join(touched, ["shard", "profile_id"], "left_semi"), segments, newest)
+    after = members_from_facts(log.join(touched, ["shard", "profile_id"], "left_semi"), segments)
     change = batch_id * _STEP
     before = read_membership(spark, _changes_path(path), change, in_shards).join(
         touched.select("profile_id"), "profile_id", "left_semi")

@@ -5,8 +5,8 @@ from rillmark.schemas import DELIVERY_WEBHOOK
 from rillmark.sinks import json_body, read_log, to_json_rows
 from rillmark.sources import parquet_topic, read_topic_stream
 from rillmark.schemas import MINUTE_ROLLUP
-from rillmark.streaming.delivery import compact_rollup, minute_rollup_stream, minute_windows, read_rollup
-from rillmark.streaming.running import append_files, finish
+from rillmark.streaming.delivery import compact_rollup, minute_rollup_stream, minute_windows_stream, read_rollup, read_windows
+from rillmark.streaming.running import finish
 
 START = 1_704_067_200_000
 
@@ -96,8 +96,10 @@ def test_rollup_stream_with_compaction(spark, path):
 
 def test_windowed_rollup(spark, path):
     rows = [*ROWS, ("w9", "m9", "sms", "sent", 10**8)]
-    webhooks(spark, rows).coalesce(1).write.parquet(f"{path}/in")
-    stream = minute_windows(read_topic_stream(spark, parquet_topic(f"{path}/in", DELIVERY_WEBHOOK)))
-    finish(append_files(stream, f"{path}/out", f"{path}/check"))
-    got = sorted(map(tuple, spark.read.schema(MINUTE_ROLLUP).parquet(f"{path}/out").collect()))
-    assert got == sorted(map(tuple, delivery.minute_rollup(webhooks(spark, ROWS)).collect()))
+    webhooks(spark, rows[-1:]).write.parquet(f"{path}/in")  # the newest comes first
+    source = parquet_topic(f"{path}/in", DELIVERY_WEBHOOK)
+    finish(minute_windows_stream(read_topic_stream(spark, source), f"{path}/out", f"{path}/check"))
+    webhooks(spark, rows[:-1]).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    finish(minute_windows_stream(read_topic_stream(spark, source), f"{path}/out", f"{path}/check"))
+    got = sorted(map(tuple, read_windows(spark, f"{path}/out").collect()))
+    assert got == sorted(map(tuple, delivery.minute_rollup(webhooks(spark, rows)).collect()))

@@ -5,19 +5,26 @@ from helpers import column, readings
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.functions.attributes import number_or_zero
+from rillmark.operators.dedup import dedup_verdict
+from rillmark.operators.definitions import standard_segments
+from rillmark.operators.metrics import as_of, floor_rank_percentiles
 from rillmark.operators.ranges import between
 from rillmark.operators.reconcile import lost_records
-from rillmark.schemas import DELIVERY_WEBHOOK, READING
+from rillmark.operators.segments import evaluate_segments
+from rillmark.operators.timeline import profile_timeline
+from rillmark.schemas import DELIVERY_WEBHOOK, READING, STOREFRONT_EVENT
 from rillmark.sinks import ensure_table, read_keyed, truncate_table, write_keyed
 from rillmark.sinks.keyed import keyed_messages
 from rillmark.sources import (
     decode_records, kafka_topic, merge_topics, parquet_topic, parse_webhooks, read_topic_snapshot, read_topic_stream,
     reject_undecodable,
 )
-from rillmark.sources.decode import MAX_BODY_BYTES, rejected_webhooks
+from rillmark.sources.decode import rejected_webhooks
 from rillmark.streaming.lag import event_lag_stream
 from rillmark.streaming.replay import deliver_with_replay, drain_undelivered, open_parcels, pending, replay_undelivered
 from rillmark.streaming.running import append_files, finish, late_rows, source_lag
+from rillmark.streaming.segments import current_segments, fold_batch
 from rillmark.streaming.store import append_event_store, publish_stream
 
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -27,7 +34,7 @@ def test_decode_skips_and_reports(spark):
     payloads = ['{"a":1,"b":"x"}', "{", "", None, '{"a":"no number"}', '{"b":"y"}']
     df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, payload string")
     assert [tuple(r) for r in decode_records(df, "payload", SCHEMA, keep=("i",)).orderBy("i").collect()] == [
-        (0, 1, "x"), (5, None, "y")]
+        (0, 1, "x"), (5, 0, "y")]
     assert column(reject_undecodable(df, "payload", SCHEMA), "i") == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         decode_records(df, "payload", SCHEMA, format="avro")
@@ -44,14 +51,16 @@ def body(**fields):
 
 
 def test_webhook_bodies(spark):
-    long_id = "x" * (MAX_BODY_BYTES - len(body(webhook_id="")))
+    limit = 65_536
+    long_id = "x" * (limit - len(body(webhook_id="")))
     bodies = [body(), body(timestamp_ms=0), '{"webhook_id":"w3","channel":"sms"}', "{not json", body(webhook_id=""),
               body(channel=""), '{"channel":"sms"}', body(webhook_id=long_id), body(webhook_id=long_id + "x")]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
-    got = parse_webhooks(df, now_ms=99)
+    got = parse_webhooks(df, now_ms=99, max_body_bytes=limit)
+    assert parse_webhooks(df, now_ms=99).count() == got.count() + 1
     assert sorted((r.webhook_id[:3], r.status, r.timestamp_ms) for r in got.collect()) == [
         ("w", "sent", 5), ("w", "sent", 99), ("w3", "", 99), ("xxx", "sent", 5)]
-    reasons = {r.i: r.reason for r in rejected_webhooks(df).collect()}
+    reasons = {r.i: r.reason for r in rejected_webhooks(df, max_body_bytes=limit).collect()}
     assert reasons == {3: "invalid json", 4: "webhook_id and channel are required",
                        5: "webhook_id and channel are required", 6: "webhook_id and channel are required",
                        8: "invalid json"}
@@ -180,11 +189,49 @@ def test_single_refused_rows_are_kept(spark, path):
 def test_lag_stream(spark, path):
     base = 1_700_000_000_000
     sent = spark.createDataFrame([(f"e{i}", base + i * 1000) for i in range(20)], "id string, sent_ms long")
-    received = spark.createDataFrame([(f"e{i}", base + i * 1000 + i) for i in range(0, 20, 2)] + [("x", base)],
-                                     "id string, received_ms long")
+    pairs = {f"e{i}": base + i * 1000 + lag for i, lag in ((0, 0), (2, 2), (4, -10), (6, 700_000), (8, 10**9))}
+    received = spark.createDataFrame([*pairs.items(), ("x", base)], "id string, received_ms long")
     for name, df in (("sent", sent), ("received", received)):
         df.write.parquet(f"{path}/{name}")
     read = lambda name, df: read_topic_stream(spark, parquet_topic(f"{path}/{name}", df.schema))
     lags = event_lag_stream(read("sent", sent), read("received", received), "id")
     finish(append_files(lags, f"{path}/out", f"{path}/check"))
-    assert column(spark.read.parquet(f"{path}/out"), "lag_ms") == list(range(0, 20, 2))
+    assert column(spark.read.parquet(f"{path}/out"), "lag_ms") == [-10, 0, 2, 700_000, 10**9]
+
+
+def test_null_keys_stay(spark):
+    rows = spark.createDataFrame([(None, "e1", 5), (None, "e0", 5), ("p", "e2", None), ("p", "e3", 7)],
+                                 "profile_id string, event_id string, timestamp_ms long")
+    got = sorted((r.profile_id or "", r.event_id, r.position) for r in profile_timeline(rows).collect())
+    assert got == [("", "e0", 1), ("", "e1", 2), ("p", "e2", 1), ("p", "e3", 2)]
+    verdicts = dedup_verdict(rows, ["profile_id"], ["event_id"]).collect()
+    assert sorted(r.event_id for r in verdicts if r.accepted) == ["e0", "e2"]
+
+
+def test_absent_fields_have_defaults(spark):
+    df = spark.createDataFrame([("{}",), ('{"event_id":"e","attributes":{"a":"b"}}',)], "payload string")
+    got = sorted(tuple(r) for r in decode_records(df, "payload", STOREFRONT_EVENT).collect())
+    assert got == [("", "", "", 0, {}), ("e", "", "", 0, {"a": "b"})]
+
+
+def test_odd_numbers_and_empty_tables(spark):
+    texts = ["5", "\t5", " 5", "5 ", "5\n", "1e2", "-.5", "5.", "", ".", "1e", "0x1", "1_0", "NaN", "5d", None]
+    df = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "n int, t string")
+    got = [float(r.v) for r in df.select("n", number_or_zero(F.col("t")).alias("v")).orderBy("n").collect()]
+    assert got == [5, 0, 0, 0, 0, 100, -0.5, 5] + [0] * 8
+    values = spark.createDataFrame([(0.4,), (0.9,), (10.574,)], "v double")
+    row = floor_rank_percentiles(values, "v", {"p50": 0.5}, "low", "high").first()
+    assert (row.p50, row.low, row.high, row.n) == (0.4, 0.4, 10.574, 3)
+    empty = spark.createDataFrame([], STOREFRONT_EVENT)
+    assert as_of(empty) == 0 and evaluate_segments(empty, standard_segments(), as_of(empty)).count() == 0
+
+
+def test_a_late_batch_keeps_memberships(spark, path):
+    day, now, chosen = 86_400_000, 1_706_745_600_000, standard_segments()
+    event = lambda n, kind, at, attributes: (f"e{n}", "p", kind, at, attributes)
+    batches = [[event(0, "purchase", now, {"price": "600"})], [event(1, "page_view", now - 60 * day, {"category": "toys"})]]
+    for number, rows in enumerate(batches):
+        fold_batch(spark, spark.createDataFrame(rows, STOREFRONT_EVENT), number, chosen, path, shards=2)
+    whole = spark.createDataFrame([row for rows in batches for row in rows], STOREFRONT_EVENT)
+    want = {tuple(r) for r in evaluate_segments(whole, chosen, now).collect()}
+    assert {tuple(r) for r in current_segments(spark, path).collect()} == want and len(want) > 9

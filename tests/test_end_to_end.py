@@ -69,7 +69,7 @@ def test_storefront_events_to_segments(spark, path):
     unique, chosen = random_events(21, events=150), standard_segments()
     delivered = storefront(spark, shuffled_with_copies(unique, 2))
     stream = read_topic_stream(spark, topic_of(spark, keyed_messages(delivered, "profile_id"), f"{path}/in"))
-    events = dedup_stream(decode_records(stream, "value", STOREFRONT_EVENT), ["event_id"], "200 days")
+    events = dedup_stream(decode_records(stream, "value", STOREFRONT_EVENT), ["event_id"])
     finish(incremental_segments(events, chosen, f"{path}/state", f"{path}/check", shards=2))
     now = max(r[3] for r in unique)
     assert pairs(finalize_segments(spark, f"{path}/state", chosen)) == members(chosen, unique, now)
