@@ -2,8 +2,8 @@
 
 A text is split by the tokenizer's pattern into pre-tokens; within each, the adjacent pair of lowest rank is joined until no
 pair has a rank. Pending pairs lie in a queue with one bucket per rank: a two-level bitmap says which buckets hold something,
-so find-first-set gives the next rank, and a bucket is a heap of positions in the linked list of symbols. An entry whose
-pair has changed since is stale and skipped. A pre-token of n bytes takes O(n log n) steps however long it is.
+so find-first-set gives the next rank, and a bucket lists positions in the linked list of symbols. An entry whose pair has changed
+since is stale and skipped. The pre-tokens of a text that are not remembered share one queue. A pre-token of n bytes takes O(n log n) steps however long it is.
 
 Defined results: a null text encodes like an empty one, to no ids; null ids decode to empty bytes; an id without a token
 raises ``ValueError``. Rows are independent, so repeated rows, ties and empty tables need nothing special. An input column
@@ -17,7 +17,6 @@ import itertools
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ BITS = 8
 #: Single bits, for words of the bitmap and for its top up to a vocabulary of 2**20.
 _ONE = [1 << bit for bit in range(4096)]
 #: Entries of each generation that a worker remembers, and the longest piece worth it. Both bound memory only.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 #: Bits for the second id of a pair.
 SHIFT = 20
 MARKS = ".,;:!?"
@@ -77,7 +76,6 @@ class Bpe:
                     self.pairs[left << SHIFT | right] = rank
         self.bytes_to_ids = [ranks.get(bytes([byte]), -1) for byte in range(256)]
         self.words = Memory()
-        self.marks: dict[str, bytes] = {}
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -87,14 +85,15 @@ class Bpe:
             return Bpe({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))},
                        pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        size, rank_of = len(piece), self.pairs.get
-        ids = [self.bytes_to_ids[byte] for byte in piece]  # of the symbol that starts here, -1 once it is joined to another
-        after = [*range(1, size + 1)]     # start of the next symbol
-        before = [*range(-1, size - 1)]
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, as 32-bit integers. They share one queue: pairs never reach over the marks between them."""
+        ids, starts, table = [-1], [], self.bytes_to_ids.__getitem__
+        for piece in pieces:
+            starts.append(len(ids))
+            ids += map(table, piece)
+            ids.append(-1)
+        size, rank_of = len(ids), self.pairs.get
+        after, before = [*range(1, size + 1)], [*range(-1, size - 1)]  # the linked list of symbols
         # Rank of the pair that starts here, -1 if none.
         pending = [rank_of(left << SHIFT | right, -1) for left, right in itertools.pairwise(ids)]
         pending.append(-1)
@@ -106,78 +105,87 @@ class Bpe:
                     buckets[rank].append(start)
                 else:
                     buckets[rank] = [start]
-                    group = rank >> BITS
-                    groups[group] = groups.get(group, 0) | one[rank & low]
-                    top |= one[group]
+        for rank in buckets:
+            group = rank >> BITS
+            groups[group] = groups.get(group, 0) | one[rank & low]
+            top |= one[group]
         while top:
             group = (top & -top).bit_length() - 1
             word = groups[group]
             rank = group << BITS | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                start = heappop(bucket)  # the leftmost
-            else:
-                start = bucket[0]
-                del buckets[rank]
-                groups[group] = word = word & (word - 1)
-                if not word:
-                    top &= top - 1
-            if pending[start] != rank:
-                continue  # stale
-            ids[start] = rank
-            gone = after[start]
-            end = after[start] = after[gone]
-            ids[gone] = pending[gone] = -1
-            if end < size:
+            bucket = buckets.pop(rank)
+            groups[group] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            bucket.sort()  # the leftmost first
+            for done, start in enumerate(bucket, 1):
+                if pending[start] != rank:
+                    continue  # stale
+                gone = after[start]
+                end, left = after[gone], before[start]
+                ids[start] = rank
+                ids[gone] = pending[gone] = -1
+                after[start] = end
                 before[end] = start
-                pending[start] = near = rank_of(rank << SHIFT | ids[end], -1)
-                if near >= 0:
-                    if near in buckets:
-                        heappush(buckets[near], start)
-                    else:
-                        buckets[near] = [start]
-                        group = near >> BITS
-                        groups[group] = groups.get(group, 0) | one[near & low]
-                        top |= one[group]
-            else:
-                pending[start] = -1
-            if start:
-                left = before[start]
-                pending[left] = near = rank_of(ids[left] << SHIFT | rank, -1)
-                if near >= 0:
-                    if near in buckets:
-                        heappush(buckets[near], left)
-                    else:
-                        buckets[near] = [left]
-                        group = near >> BITS
-                        groups[group] = groups.get(group, 0) | one[near & low]
+                pending[start] = right_rank = rank_of(rank << SHIFT | ids[end], -1)
+                pending[left] = left_rank = rank_of(ids[left] << SHIFT | rank, -1)
+                for near, place in ((right_rank, start), (left_rank, left)):
+                    if near >= 0:
+                        if near in buckets:
+                            buckets[near].append(place)
+                        else:
+                            buckets[near] = [place]
+                            group = near >> BITS
+                            groups[group] = groups.get(group, 0) | one[near & low]
+                            top |= one[group]
+                if 0 <= right_rank <= rank or 0 <= left_rank <= rank:
+                    # What comes first now may lie before the rest of this bucket.
+                    if rest := bucket[done:]:
+                        buckets.setdefault(rank, []).extend(rest)
+                        group = rank >> BITS
+                        groups[group] = groups.get(group, 0) | one[rank & low]
                         top |= one[group]
-        return [one_id for one_id in ids if one_id >= 0]
+                    break
+        return [array("i", [i for i in ids[start:start + len(piece)] if i >= 0]).tobytes() for start, piece in zip(starts, pieces)]
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a text that is cut into pre-tokens first."""
-        return array("i", [i for piece in self.pretoken.findall(chunk) for i in self.merge(piece.encode())]).tobytes()
+    def _pieces(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts that are cut into pre-tokens; each distinct pre-token is encoded once."""
+        known = {piece: self.ranks.get(piece) for pieces in texts for piece in pieces}
+        rest = [piece for piece, rank in known.items() if rank is None]
+        known = {piece: array("i", [rank]).tobytes() for piece, rank in known.items() if rank is not None}
+        if rest:
+            known.update(zip(rest, self.merge(rest)))
+        return [b"".join([known[piece] for piece in pieces]) for pieces in texts]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word and the blank before it.
+    def _cut(self, chunk: str) -> list[bytes]:
+        return [piece.encode() for piece in self.pretoken.findall(chunk)]
 
-        Marks after a letter are a pre-token of their own, so they are looked up apart from the word they follow.
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words, each with the blank before it.
+
+        Marks after a letter are a pre-token of their own, so a word is put together from its core and its marks.
         """
-        if (packed := self.words.find(word)) is not None:
-            return packed
-        core = word.rstrip(MARKS)
-        if core != word and core and core[-1].isalpha():
-            if (marks := self.marks.get(tail := word[len(core):])) is None:
-                marks = self._chunk(tail)
-                if len(self.marks) < REMEMBERED and len(tail) <= LONGEST:
-                    self.marks[tail] = marks
-            packed = self._word(core) + marks
-        elif word.isalpha():
-            packed = array("i", self.merge(b" " + word.encode())).tobytes()
-        else:
-            packed = self._chunk(" " + word)
-        self.words.keep(word, packed)
-        return packed
+        found, cores, ids, fresh = {}, {}, {}, {}
+        for word in words:
+            if (packed := self.words.find(word)) is not None:
+                found[word] = packed
+                continue
+            core = word.rstrip(MARKS)
+            if not core or not core[-1].isalpha():
+                core = word
+            cores[word] = core
+            if (packed := self.words.find(core)) is not None:
+                ids[core] = packed
+            elif core not in fresh:
+                fresh[core] = [b" " + core.encode()] if core.isalpha() else self._cut(" " + core)
+        tails = {word[len(core):] for word, core in cores.items()}
+        fresh.update((tail, [tail.encode()]) for tail in tails - {""})  # tails hold marks only, so none is a core
+        ids.update(zip(fresh, self._pieces(list(fresh.values()))))
+        for word, core in cores.items():
+            found[word] = packed = ids[core] + (ids[word[len(core):]] if len(core) < len(word) else b"")
+            self.words.keep(core, ids[core])
+            self.words.keep(word, packed)
+        return found
 
     def _edges(self, word: str) -> bool:
         """Whether a word begins and ends with something other than white space."""
@@ -192,15 +200,14 @@ class Bpe:
         words = text.split(" ")
         found = list(map(self.words.young.get, words))
         found[0] = None
-        for at, packed in enumerate(found):
-            if packed is None:
-                word = words[at]
-                if not self._edges(word):
-                    return b"".join(map(self._chunk, self._chunks(words)))
-                if at == 0:
-                    found[at] = self._chunk(word)
-                else:
-                    found[at] = self._word(word)
+        missing = [at for at, packed in enumerate(found) if packed is None]
+        if not all(self._edges(words[at]) for at in missing):
+            return b"".join(self._pieces([self._cut(chunk) for chunk in self._chunks(words)]))
+        found[0], = self._pieces([self._cut(words[0])])
+        if len(missing) > 1:
+            learnt = self._learn({words[at] for at in missing[1:]})
+            for at in missing[1:]:
+                found[at] = learnt[words[at]]
         return b"".join(found)
 
     def _chunks(self, words: list[str]) -> Iterator[str]:
