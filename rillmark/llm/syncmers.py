@@ -74,8 +74,11 @@ def offset(a: Column, b: Column) -> Column:
 
 
 def with_next(df: DataFrame, doc_id: str, *columns: str) -> DataFrame:
-    """``df`` with ``next_<column>`` of the next document in descending order of ``doc_id``; after the last comes the first."""
-    key, tie = quoted(doc_id), F.xxhash64(*map(quoted, columns))
+    """``df`` with ``next_<column>`` of the next document in descending order of ``doc_id``; after the last comes the first.
+
+    Equal ids are ordered by a hash of the first of ``columns``; the others should follow from it.
+    """
+    key, tie = quoted(doc_id), F.xxhash64(quoted(columns[0]))
     # Counts down with the id, nulls last.
     cell = -id_cell(df, doc_id, key)
     placed = df.select("*", cell.alias("syncmer_cell"), tie.alias("syncmer_tie"))
