@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rillmark.llm import bpe, mixing, quality, simhash
 from rillmark.llm.common import table
@@ -18,8 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the lines that failed removed from their text."""
-    kept = quality.assess(docs).where("kept")
-    return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*docs.columns)
+    return quality.keep(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,14 @@ def assess(df: DataFrame, text: str = "text") -> DataFrame:
         "base_failed": (n < MIN_WORDS) | (100 * repeated > 50 * n)})
     kept = ~F.col("base_failed") & (F.col("clean_chars") >= (1 - LOSS) * F.col("word_chars"))
     return out.withColumn("kept", kept).drop("quality_words", "quality_lines")
+
+
+def keep(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` that are kept, with the cleaned text and, if there is such a column, its ``length``.
+
+    All other columns stay as they are, whatever their names.
+    """
+    rows = df.select(F.struct(*[quoted(name).alias(name) for name in df.columns]).alias("row"), quoted(text).alias("content"))
+    kept = assess(rows, "content").where("kept")
+    changed = {text: F.col("clean_text"), length: F.length("clean_text").cast(dict(df.dtypes).get(length, "long"))}
+    return kept.select(*[changed.get(name, F.col("row").getField(name)).alias(name) for name in df.columns])

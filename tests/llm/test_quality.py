@@ -47,6 +47,11 @@ def test_clashing_columns_repeats_and_empty(spark):
     out = quality.assess(df)
     assert out.count() == 2 and not any(row["kept"] for row in out.collect())
     assert quality.assess(df.limit(0)).count() == 0
+    text = "\n".join([GOOD.format(n) for n in range(10)] + ["Home | News | Sport | Contact"])
+    rows = spark.createDataFrame([(1, text, 5, 7, 9), (2, "x", 5, 7, 9)], "doc_id long, text string, kept int, `n.words` int, n_chars int")
+    out = quality.keep(rows)
+    clean = text.rpartition("\n")[0]
+    assert out.columns == rows.columns and [tuple(row) for row in out.collect()] == [(1, clean, 5, 7, len(clean))]
 
 
 def test_query_equals_sql(equals_sql):
