@@ -59,10 +59,12 @@ def merge_facts(facts: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("amount").cast(AMOUNTS).alias("amount"), F.max("last_ms").alias("last_ms"))
 
 
-def trim_facts(facts: DataFrame, segments: Sequence[Segment], newest_ms: int) -> DataFrame:
-    """Drop purchases that no window of ``segments`` can reach any more."""
-    oldest = newest_ms - Measures(segments).longest_days * DAY_MS
-    return facts.where((F.col("facet") != "bought_at") | (F.col("last_ms") >= oldest))
+def trim_facts(facts: DataFrame, segments: Sequence[Segment]) -> DataFrame:
+    """Drop purchases that no window of ``segments`` can reach any more, not even as of their profile's newest event."""
+    reach = Measures(segments).longest_days * DAY_MS
+    own = facts.where("facet = 'seen'").groupBy("shard", "profile_id").agg((F.max("last_ms") - reach).alias("_oldest"))
+    kept = (F.col("facet") != "bought_at") | (F.col("last_ms") >= F.col("_oldest"))
+    return facts.join(own, ["shard", "profile_id"]).where(kept).select(*facts.columns)
 
 
 def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int | None = None) -> DataFrame:

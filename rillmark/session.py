@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,9 +41,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used before."""
-    return f"{shared_folder(spark).rstrip('/')}/rillmark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/rillmark/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders that operators made inside this block; consume or store results before it ends."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        del _MADE[before:]
 
 
 def materialise(df, name: str = "cut"):

@@ -19,7 +19,7 @@ from rillmark.operators.definitions import Segment
 from rillmark.operators.segment_state import FACTS, facts_of, members_from_facts, merge_facts, trim_facts
 from rillmark.operators.segments import membership_delta
 from rillmark.sinks.logs import append_batch, compact_log, fixed_shards, read_log
-from rillmark.sinks.membership import CHANGES, read_membership, write_membership
+from rillmark.sinks.membership import CHANGES, compact_membership, read_membership, write_membership
 from rillmark.streaming.running import each_batch
 
 # Change numbers between two micro-batches, for final passes.
@@ -62,10 +62,17 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: S
 
 
 def incremental_segments(events: DataFrame, segments: Sequence[Segment], path: str, checkpoint: str,
-                         trigger: dict | None = None, shards: int | None = None) -> StreamingQuery:
+                         trigger: dict | None = None, shards: int | None = None, compact_every: int = 20) -> StreamingQuery:
+    """Fold each micro-batch.  The logs are merged after every ``compact_every`` of them, so what a micro-batch
+    reads does not grow with their number; a retry reads what it read before, as merged folders stay."""
     spark = events.sparkSession
-    return each_batch(events, lambda batch, batch_id: fold_batch(spark, batch, batch_id, segments, path, shards),
-                      checkpoint, trigger)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        fold_batch(spark, batch, batch_id, segments, path, shards)
+        if (batch_id + 1) % compact_every == 0:
+            compact_segments(spark, path, segments)
+
+    return each_batch(events, fold, checkpoint, trigger)
 
 
 def current_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -98,8 +105,6 @@ def finalize_segments(spark: SparkSession, path: str, segments: Sequence[Segment
 
 
 def compact_segments(spark: SparkSession, path: str, segments: Sequence[Segment]) -> None:
-    """Merge the fact log, dropping purchases no window reaches any more.  Run between micro-batches."""
-    newest = newest_event(spark, path)
-    if newest is not None:
-        compact_log(spark, _facts_path(path), FACTS,
-                    lambda log: trim_facts(merge_facts(log), segments, newest), "shard")
+    """Merge both logs, dropping purchases no window reaches any more.  Run between micro-batches."""
+    compact_log(spark, _facts_path(path), FACTS, lambda log: trim_facts(merge_facts(log), segments), "shard")
+    compact_membership(spark, _changes_path(path))

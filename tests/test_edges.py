@@ -14,8 +14,11 @@ from rillmark.operators.reconcile import lost_records
 from rillmark.operators.segments import evaluate_segments
 from rillmark.operators.timeline import profile_timeline
 from rillmark.schemas import DELIVERY_WEBHOOK, READING, STOREFRONT_EVENT
+from rillmark.operators.segment_state import FACTS
+from rillmark.session import child_names, materialise, path_exists, scratch
 from rillmark.sinks import ensure_table, read_keyed, truncate_table, write_keyed
 from rillmark.sinks.keyed import keyed_messages
+from rillmark.sinks.logs import read_log
 from rillmark.sources import (
     decode_records, kafka_topic, merge_topics, parquet_topic, parse_webhooks, read_topic_snapshot, read_topic_stream,
     reject_undecodable,
@@ -24,7 +27,7 @@ from rillmark.sources.decode import rejected_webhooks
 from rillmark.streaming.lag import event_lag_stream
 from rillmark.streaming.replay import deliver_with_replay, drain_undelivered, open_parcels, pending, replay_undelivered
 from rillmark.streaming.running import append_files, finish, late_rows, source_lag
-from rillmark.streaming.segments import current_segments, fold_batch
+from rillmark.streaming.segments import current_segments, finalize_segments, fold_batch, incremental_segments
 from rillmark.streaming.store import append_event_store, publish_stream
 
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -235,3 +238,27 @@ def test_a_late_batch_keeps_memberships(spark, path):
     whole = spark.createDataFrame([row for rows in batches for row in rows], STOREFRONT_EVENT)
     want = {tuple(r) for r in evaluate_segments(whole, chosen, now).collect()}
     assert {tuple(r) for r in current_segments(spark, path).collect()} == want and len(want) > 9
+
+
+def test_a_stream_merges_its_logs(spark, path):
+    now, chosen = 1_706_745_600_000, standard_segments()
+    rows = [(f"e{n}", f"p{n % 3}", "purchase", now + n * 86_400_000, {"price": "60"}) for n in range(8)]
+    for row in rows:
+        spark.createDataFrame([row], STOREFRONT_EVENT).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = read_topic_stream(spark, parquet_topic(f"{path}/in", STOREFRONT_EVENT, maxFilesPerTrigger="1"))
+    finish(incremental_segments(stream, chosen, f"{path}/state", f"{path}/check", shards=1, compact_every=4))
+    assert child_names(spark, f"{path}/state/facts/base") == ["upto=3", "upto=7"]
+    read = read_log(spark, f"{path}/state/facts", FACTS)
+    assert all("/base/upto=7/" in name for name in read.inputFiles())
+    whole = spark.createDataFrame(rows, STOREFRONT_EVENT)
+    want = {tuple(r) for r in evaluate_segments(whole, chosen, as_of(whole)).collect()}
+    assert {tuple(r) for r in finalize_segments(spark, f"{path}/state", chosen).collect()} == want
+
+
+def test_scratch_removes_what_was_made_inside(spark):
+    outside = materialise(spark.range(3))
+    with scratch(spark):
+        inside = materialise(spark.range(3))
+        files = inside.inputFiles()
+        assert inside.count() == 3
+    assert outside.count() == 3 and not any(path_exists(spark, name) for name in files)
