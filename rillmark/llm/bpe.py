@@ -222,7 +222,9 @@ class Bpe:
         yield " ".join(chunk)
 
     def encode(self, texts: pa.Array) -> pa.Array:
-        parts = [self.packed(text or "") for text in texts.to_pylist()]
+        parts = []
+        for start in range(0, len(texts), 256):  # few texts at a time as Python strings
+            parts += [self.packed(text or "") for text in texts.slice(start, 256).to_pylist()]
         return _lists(parts, 4, pa.int32(), np.dtype("<i4"))
 
     def decode(self, ids: pa.Array) -> pa.Array:
