@@ -9,18 +9,24 @@ The trees are built in the tasks that hold their shards; all of them together gr
 A shard gives a spanning forest of its links, not all pairs. Components come from alternating passes over these edges in which
 every point moves to the smallest neighbour, each pass written to the shared folder.
 
+``keep_one`` takes pairs whose sets of five-word shingles have a Jaccard similarity of ``LEAST`` or more. Such pairs lie some 10 of 64 bits
+apart, too far for pairs of blocks, so it has fingerprints of ``WORDS`` * 64 bits over the distinct shingles, searched within ``REACH``
+bits, in shards of its own: points that share one of ``BANDS`` groups of ``ROWS`` smallest shingles under hash orders. A pair of
+similarity J shares one with probability 1 - (1 - J^4)^14: 0.9994 at 0.8. Their links give groups; the texts of a group's points meet
+once, and a pair of a group within reach is linked if its shingle sets say so. Pairs that links already connect are not compared.
+
 Defined results: no word gives fingerprint zero, linked like any other, and a null text has no word; fewer words than a shingle
 make one shingle; null ids stay rows of their own and never name a component, unless all its ids are null (component null);
 repeated rows share a component; an empty table gives an empty result. Input columns named like working columns are kept.
 
 Scale: a shard of more than ``SHARD`` points (a group of copies that holds a third of all) is cut into pieces, and each pair of
-pieces is a task's tree, so no task holds more than two pieces. Documents of one fingerprint are pre-aggregated before any shuffle.
+pieces is a task's tree, so no task holds more than two pieces; for texts a piece is ``TEXTS``, or fewer long ones. Documents of one fingerprint are pre-aggregated before any shuffle.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,16 @@ from rillmark.llm.common import free_name, quoted, without
 from rillmark.session import materialise
 
 RADIUS = 4
-#: For pairs with eight tenths of their five-word shingles in common, whose fingerprints seldom lie further apart.
-WIDE = 6
+#: Similarity of near-duplicates, and the words of a long fingerprint.
+LEAST, WORDS = 0.8, 4
+#: Bits of a long fingerprint: at similarity 0.8 pairs lie 39 apart, with few shingles up to 50, with a deviation of 6.
+REACH = 76
+ROWS, BANDS = 4, 14
 #: Points in a shard, or in a piece of a larger one.
 SHARD = 2048
+TEXTS, CHARACTERS = 512, 4_000_000
 _SEED = 42
+_MULTIPLIERS = np.random.default_rng(_SEED).integers(1, 1 << 63, WORDS + ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint_of(text: str | None, words: int = 4) -> int:
@@ -65,6 +76,70 @@ def fingerprint(text: Column, words: int = 4) -> Column:
     return fingerprints.asNondeterministic()(text.cast("string"))
 
 
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(tokens), min(words, len(tokens))
+    starts = list(itertools.accumulate((len(token) + 1 for token in tokens), initial=0))
+    digest, total = xxhash.xxh64_intdigest, len(tokens) - size + 1
+    return np.unique(np.fromiter((digest(joined[a:b - 1], _SEED) for a, b in zip(starts, starts[size:])), np.uint64, total))
+
+
+def long_fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WORDS`` words with a bit where more than half of the hashes of a shingle set have it."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for low in range(0, len(own), 255):  # as many as a byte counts
+        salted = own[low:low + 255, None] * _MULTIPLIERS[:WORDS]
+        salted ^= salted >> np.uint64(29)
+        salted *= _MULTIPLIERS[:WORDS]
+        salted ^= salted >> np.uint64(32)
+        bits = np.unpackbits(salted.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """``BANDS`` shard keys of a shingle set; none for an empty one."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    least = np.full(ROWS * BANDS, ~np.uint64(0))
+    for low in range(0, len(own), 2048):
+        least = np.minimum(least, (_MULTIPLIERS[WORDS:, None] * own[low:low + 2048]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), at) for at, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def set_number(own: np.ndarray) -> int:
+    """Signed number of a shingle set, the same for equal sets."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), _SEED)).view(np.int64))
+
+
+class Likeness:
+    """Jaccard similarities of shingle sets to one of them, from lists of the sets that hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(own) for own in sets])
+        _, self.shingles = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum(self.sizes)
+        self.holders = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.shingles, kind="stable")]
+        self.bounds = np.r_[0, np.cumsum(np.bincount(self.shingles))]
+
+    def to(self, at: int) -> np.ndarray:
+        """The similarity of every set to set ``at``; 1 if both are empty."""
+        own = self.shingles[self.ends[at] - self.sizes[at]:self.ends[at]]
+        lists = [self.holders[low:high] for low, high in zip(self.bounds[own].tolist(), self.bounds[own + 1].tolist())]
+        common = np.bincount(np.concatenate(lists), minlength=len(self.sizes)) if lists else np.zeros(len(self.sizes), np.int64)
+        either = self.sizes + self.sizes[at] - common
+        return np.where(either > 0, common / np.maximum(either, 1), 1.0)
+
+
+def _distances(points: np.ndarray, point: int) -> np.ndarray:
+    if points.ndim == 1:
+        return np.bitwise_count(points ^ np.uint64(point)).astype(np.int16)
+    return np.bitwise_count(points ^ np.frombuffer(point.to_bytes(8 * points.shape[1], "little"), "<u8")).sum(axis=1, dtype=np.int16)
+
+
 class BkTree:
     """Points in a tree by Hamming distance; a node's children are keyed by their distance to it."""
 
@@ -100,7 +175,7 @@ class BkTree:
         waiting = [(0, np.arange(len(points)))] if self.points else []
         while waiting:
             at, active = waiting.pop()
-            distances = np.bitwise_count(points[active] ^ np.uint64(self.points[at])).astype(np.int16)
+            distances = _distances(points[active], self.points[at])
             yield at, active[distances <= radius]
             for edge, child in self.children[at].items():
                 if len(rest := active[np.abs(distances - edge) <= radius]):
@@ -129,6 +204,32 @@ def forest(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(int(points[low]), int(points[at])) for at, low in enumerate(label.tolist()) if low != at]
 
 
+def long_forest(prints: np.ndarray, radius: int = REACH, sets: list[np.ndarray] | None = None, least: float = LEAST) -> list[tuple[int, int]]:
+    """Numbers of pairs of long fingerprints that join all linked ones: within ``radius``, and as similar as ``least`` if there are ``sets``."""
+    tree, label = BkTree(), np.arange(len(prints))
+    whole = [int.from_bytes(one.tobytes(), "little") for one in prints]
+    if len(prints) > 64:
+        for point in whole:
+            tree.insert(point)
+        found = tree.stars(prints, radius)
+    else:
+        found = []
+        for number, point in enumerate(whole):
+            found.append((number, np.fromiter(tree.within(point, radius), np.int64)))
+            tree.insert(point)
+    edges, likeness = [], None if sets is None else Likeness(sets)
+    for at, near in found:
+        near = near[label[near] != label[at]]
+        if likeness is not None and len(near):
+            near = near[likeness.to(at)[near] >= least]
+        while len(near):
+            other = near[0]
+            label[label == label[other]] = label[at]
+            edges.append((int(other), int(at)))
+            near = near[label[near] != label[at]]
+    return edges
+
+
 def _shard_keys(point: Column, radius: int) -> Column:
     """One number for each pair of the ``radius`` + 2 blocks and what stands in them."""
     edges = [64 * block // (radius + 2) for block in range(radius + 3)]
@@ -137,15 +238,74 @@ def _shard_keys(point: Column, radius: int) -> Column:
     return F.array(*[F.lit(number << 32).cast("long") + F.shiftleft(a, 16) + b for number, (a, b) in enumerate(pairs)])
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``a`` < ``b``: edges of distinct stored ``point`` (long) values; points are linked if and only if edges connect them."""
-    spread = points.select("point", F.explode(_shard_keys(F.col("point"), radius)).alias("key"))
-    large = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard).select(
-        "key", F.ceil(F.col("n") / shard).cast("int").alias("pieces")), "simhash-large")
+def _cells(spread: DataFrame, shard: int) -> DataFrame:
+    """Rows of ``spread`` (``point``, ``key``, more) in cells ``key``, ``low``, ``high``: any two rows of a key meet in one of at most
+    two pieces of about ``shard`` rows."""
+    more = [name for name in spread.columns if name not in ("point", "key")]
+    size = F.count("*") / shard
+    if "text" in more:
+        size = F.greatest(size, F.coalesce(F.sum(F.length("text")), F.lit(0)) / CHARACTERS)
+    large = materialise(spread.groupBy("key").agg(F.ceil(size).cast("int").alias("pieces")).where("pieces > 1"), "simhash-large")
     whole = F.coalesce(F.col("pieces"), F.lit(1))
     piece = F.pmod(F.xxhash64("point"), whole).cast("int")
-    cells = spread.join(large, "key", "left").select("point", "key", piece.alias("piece"), F.explode(F.sequence(F.lit(0), whole - 1)).alias("other"))
-    cells = cells.select("point", "key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
+    cells = spread.join(large, "key", "left").select("point", "key", *more, piece.alias("piece"),
+                                                     F.explode(F.sequence(F.lit(0), whole - 1)).alias("other"))
+    return cells.select("point", "key", *more, F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(point, value) of each cell with several points, from rows ``key``, ``low``, ``high``, ``point``, value in order of cells."""
+    own, rows = None, {}
+    for batch in batches:
+        for key, low, high, point, value in zip(*[column.to_pylist() for column in batch.columns]):
+            if (key, low, high) != own:
+                if len(rows) > 1:
+                    yield list(rows.items())
+                own, rows = (key, low, high), {}
+            rows[point] = value
+    if len(rows) > 1:
+        yield list(rows.items())
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _joined(cells: DataFrame, value: str, pairs: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """``a``, ``b``: the points that ``pairs`` names, by number, for the values of each cell."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cell_rows(batches):
+            found = [(rows[low][0], rows[high][0]) for low, high in pairs([value for _, value in rows])]
+            if found:
+                yield pa.RecordBatch.from_pylist([{"a": min(pair), "b": max(pair)} for pair in found], _EDGES)
+
+    ordered = cells.select("key", "low", "high", "point", value).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return ordered.mapInArrow(edges, "a long, b long").distinct()
+
+
+def candidate_groups(points: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``point``, ``root`` of the stored points (``point``, ``print``, ``keys``) that links of long fingerprints within a shard join to others."""
+    spread = points.select("point", "print", F.explode("keys").alias("key"))
+
+    def pairs(prints: list[bytes]) -> list[tuple[int, int]]:
+        return long_forest(np.frombuffer(b"".join(prints), "<u8").reshape(-1, WORDS))
+
+    return components(_joined(_cells(spread, shard), "print", pairs))
+
+
+def similar(texts: DataFrame, words: int = 5, least: float = LEAST, shard: int = TEXTS) -> DataFrame:
+    """``a`` < ``b``: edges that join the points (``point``, ``key`` of its group, ``text``) of a group as similar as ``least``."""
+
+    def pairs(own: list[str]) -> list[tuple[int, int]]:
+        sets = [shingle_set(one, words) for one in own]
+        return long_forest(np.stack([long_fingerprint(one) for one in sets]), REACH, sets, least)
+
+    return _joined(_cells(texts, shard), "text", pairs)
+
+
+def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``a`` < ``b``: edges of distinct stored ``point`` (long) values; points are linked if and only if edges connect them."""
+    cells = _cells(points.select("point", F.explode(_shard_keys(F.col("point"), radius)).alias("key")), shard)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), np.int64)
@@ -209,13 +369,43 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return docs.join(known, "point").select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, radius: int = WIDE) -> DataFrame:
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` (``doc_id``, ``hash``, ``text``) with ``point``, ``print`` and ``keys`` of the text's shingle set in its place."""
+    schema = pa.schema([("point", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch, made = whole.slice(start, 512), []
+                for text in batch.column("text"):
+                    own = shingle_set(text.as_py(), words)
+                    made.append({"point": set_number(own), "print": long_fingerprint(own).tobytes(), "keys": band_keys(own).tolist()})
+                made = pa.RecordBatch.from_pylist(made, schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made.columns], ["doc_id", "hash", *schema.names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "hash", "text").mapInArrow(
+        sketched, f"doc_id {kind}, hash long, point long, print binary, keys array<long>")
+
+
+def near_roots(df: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """``point``, ``root`` for the points of stored ``docs`` that near-duplicates join to others."""
+    points = docs.groupBy("point").agg(F.first("print").alias("print"), F.first("keys").alias("keys"),
+                                       F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("own"))
+    points = materialise(points, "simhash-points")
+    groups = points.join(candidate_groups(points.select("point", "print", "keys")), "point").select("point", F.col("root").alias("key"), "own")
+    texts = df.join(groups, df["doc_id"].eqNullSafe(F.col("own.doc_id")) & (df["hash"] == F.col("own.hash"))).select("point", "key", "text")
+    return components(similar(materialise(texts, "simhash-texts"), words, least))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, least: float = LEAST) -> DataFrame:
     """The rows of ``df`` less near-duplicates: of each component the row of the smallest id stays (null last, ties by text hash)."""
     hashed = F.xxhash64(quoted(text))
-    docs = materialise(df.select(quoted(doc_id).alias("doc_id"), hashed.alias("hash"), fingerprint(quoted(text), words).alias("point")),
-                       "simhash-docs")
-    points = materialise(docs.select("point").distinct(), "simhash-points")
-    equal = docs.groupBy("point", "doc_id", "hash").agg(F.count("*").alias("n")).join(_roots(points, radius), "point")
+    texts = df.select(quoted(doc_id).alias("doc_id"), hashed.alias("hash"), quoted(text).cast("string").alias("text"))
+    docs = materialise(sketches(texts, words), "simhash-docs")
+    linked = near_roots(texts, docs, words, least).withColumnRenamed("root", "linked")
+    equal = docs.groupBy("point", "doc_id", "hash").agg(F.count("*").alias("n")).join(linked, "point", "left").withColumn(
+        "root", F.coalesce("linked", "point"))
     first = equal.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n")).alias("first"))
     names = {name: free_name(df, f"simhash_{name}") for name in ("id", "hash", "n")}
     first = materialise(first.select(F.col("first.doc_id").alias(names["id"]), F.col("first.hash").alias(names["hash"]),

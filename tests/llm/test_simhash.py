@@ -111,3 +111,45 @@ def test_edges_and_keep_one(spark):
     assert sorted((row["doc_id"] or 0, row["text"] or "") for row in kept.collect()) == sorted(
         [(1, long.upper()), (7, ""), (9, "other words here"), (0, "alone in the world")])
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.keep_one(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, words=5):
+    a, b = ({tuple(own[i:i + words]) for i in range(max(1, len(own) - words + 1))} for own in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def edited_pairs(seed, sizes=(6, 14, 40, 120, 300, 900)):
+    """Texts and a copy of each with some words changed, whose similarities lie around 0.8."""
+    random.seed(seed)
+    pairs = []
+    for size in sizes:
+        for edits in range(1, 2 + max(1, size // 40)):
+            for _ in range(6):
+                own = [f"w{random.randrange(100_000)}" for _ in range(size)]
+                other = list(own)
+                for _ in range(edits):
+                    other[random.randrange(size)] = f"v{random.randrange(100_000)}"
+                pairs.append((" ".join(own), " ".join(other)))
+            own = [f"u{random.randrange(100_000)}" for _ in range(size)]
+            pairs.append((" ".join(own), " ".join(own[:-edits])))
+    return pairs
+
+
+def test_keep_one_takes_exactly_the_pairs_of_similar_texts(spark):
+    pairs = edited_pairs(11)
+    likeness = [jaccard(*pair) for pair in pairs]
+    assert sum(0.8 <= one < 0.9 for one in likeness) > 10 and sum(0.6 < one < 0.8 for one in likeness) > 10
+    df = spark.createDataFrame([(2 * n + side, text) for n, pair in enumerate(pairs) for side, text in enumerate(pair)], "doc_id long, text string")
+    kept = {row["doc_id"] for row in simhash.keep_one(df).collect()}
+    assert all(2 * n in kept for n in range(len(pairs)))
+    assert [2 * n + 1 not in kept for n in range(len(pairs))] == [one >= 0.8 for one in likeness]
+
+
+def test_similar_texts_meet_across_pieces(spark):
+    pairs = [pair for pair in edited_pairs(12, (40, 120)) if jaccard(*pair) >= 0.8]
+    texts = [text for pair in pairs for text in pair]
+    df = spark.createDataFrame([(n, 0, text) for n, text in enumerate(texts)], "point long, key long, text string")
+    edges = sorted((row["a"], row["b"]) for row in simhash.similar(df, shard=5).collect())
+    assert edges == [(2 * n, 2 * n + 1) for n in range(len(pairs))]
+    large = np.stack([simhash.long_fingerprint(simhash.shingle_set(text)) for text in texts])
+    assert len(large) > 64 or sorted(simhash.long_forest(large)) == edges
