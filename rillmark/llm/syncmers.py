@@ -5,8 +5,8 @@ first or last: whether it is depends on the run alone, so equal passages give eq
 tell how two texts align. The fingerprint is the ``SIZE`` smallest distinct anchor hashes; the likeness of two fingerprints is
 the share of common anchors among the smallest of their union, which estimates the Jaccard similarity of all anchors.
 
-Defined results: a null text is an empty one; a text of fewer than ``K`` words has its whole sequence as one anchor, and one without
-words has none; two empty fingerprints have likeness 1, an empty and another 0; equal ids are ordered by a hash of their texts;
+Defined results: a null text is an empty one; a text with words but no closed syncmer (fewer than ``K`` words, or a few more) has its whole
+sequence as one anchor, and one without words has none; two empty fingerprints have likeness 1, an empty and another 0; equal ids are ordered by a hash of their texts;
 null ids come last in descending order; a single document is its own next; an empty table gives an empty result. Columns named
 like an output column are replaced.
 
@@ -43,7 +43,8 @@ def anchors(text: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(w) - S), lambda i: F.xxhash64(*[F.get(w, i + at) for at in range(S)]))
         whole = F.array(F.struct(F.lit(0).alias("place"), F.shiftright(F.xxhash64(F.array_join(w, " ")), 32).cast("int").alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:int>>")
-        return F.when(F.size(w) >= K, let(inner, lambda h: chosen(w, h))).when(F.size(w) > 0, whole).otherwise(none)
+        found = F.when(F.size(w) >= K, let(inner, lambda h: chosen(w, h))).otherwise(none)
+        return let(found, lambda a: F.when((F.size(a) > 0) | (F.size(w) == 0), a).otherwise(whole))
 
     return let(words_of(F.coalesce(text.cast("string"), F.lit(""))), hashed)
 

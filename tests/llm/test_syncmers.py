@@ -79,3 +79,14 @@ def test_query(spark):
     for doc in docs:
         prints.setdefault(doc["text"] or "", set()).add(found[doc["doc_id"]]["fingerprint"])
     assert all(len(own) == 1 for own in prints.values())
+
+
+def test_short_texts_have_an_anchor(spark):
+    texts = [" ".join(f"w{n}x{at}s{size}" for at in range(size)) for size in range(1, 9) for n in range(60)]
+    found = anchors_of(spark, texts)
+    assert all(found)
+    assert len({tuple(own) for own in found}) == len(texts)
+    # Some have no syncmer and stand for themselves as a whole, from place 0.
+    df = spark.createDataFrame([(texts[60 * 4 + n], texts[60 * 5 + n]) for n in range(60)], "a string, b string")
+    alike = syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")))
+    assert df.select(alike.alias("l")).where("l = 1").isEmpty()
