@@ -74,17 +74,16 @@ def state_size(rows: DataFrame, group: str | None, id_column: str, cap: int) ->
 
 
 def state_trace(rows: DataFrame, group: str, id_column: str, order: Sequence[str], cap: int,
-                every: int, order_width: int) -> DataFrame:
+                every: int) -> DataFrame:
     """Remembered ids after each ``every`` arrived rows: ``sample`` (1, 2, …) and ``entries``.
 
     A group's memory grows by one per new id until it holds ``cap`` and stays
-    there, so the trace follows from where each id came first.  ``order_width``
-    is the stretch of the first order column ordered in one task.  Samples in
+    there, so the trace follows from where each id came first.  Samples in
     which nothing grew are not listed: the value before them still holds.
     """
-    placed = positions(rows.select(group, id_column, *order), [], order, order_width, "_place")
-    first = placed.groupBy(group, id_column).agg(F.min("_place").alias("_place"))
-    sample = (F.call_function("div", F.col("_place") - 1, F.lit(every).cast("long")) + 1).alias("sample")
+    placed = positions(rows.select(group, id_column, *order), [], order, "_arrival")
+    first = placed.groupBy(group, id_column).agg(F.min("_arrival").alias("_arrival"))
+    sample = (F.call_function("div", F.col("_arrival") - 1, F.lit(every).cast("long")) + 1).alias("sample")
     grown = first.groupBy(group, sample).agg(F.count(F.lit(1)).alias("_new"))
     per_group = running(grown, [group], "sample", 4096, sums=["_new"])
     capped = per_group.select(

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillmark.session import materialise
+
 STRETCH = "_stretch"
 
 
@@ -81,18 +83,28 @@ def previous(points: DataFrame, keys: Sequence[str], at: str, value: str, name:
             .drop("_inside", "_first", "_edge", "_lane"))
 
 
-def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,
-              name: str = "position") -> DataFrame:
-    """Number the rows of each key 1, 2, 3 … by ``order``; its first column is a long.
+def in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` stored in order, with ``_place``, which counts up within a range, and ``_range``, the number of the range."""
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The id holds the number of the range in its upper bits; stored, it stays as it is.
+    placed = materialise(ordered.withColumn("_place", F.monotonically_increasing_id()), "positions")
+    return placed.withColumn("_range", F.shiftright("_place", 33))
+
+
+def positions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", total: str | None = None) -> DataFrame:
+    """Number the rows of each key 1, 2, 3 … by ``order``, and add the key's number of rows as ``total`` if named.
 
-    ``order`` must be unique within a key.
+    Rows are sorted by key and order in ranges of about as many rows each, whatever a key or a moment owns, and stored with their
+    place in their range.  What a range holds of a key is counted, the counts are summed along the ranges of the key, and the
+    sums are joined back.  ``order`` must be unique within a key; rows equal in it get numbers in any order.
     """
-    keys, at = list(keys), order[0]
-    cut = rows.withColumn(STRETCH, stretch_of(at, width))
-    counts = cut.groupBy(*keys, STRETCH).agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.partitionBy(*keys).orderBy(STRETCH).rowsBetween(W.unboundedPreceding, -1)
-    carried = counts.select(*keys, STRETCH, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    here = W.partitionBy(*keys, STRETCH).orderBy(*order)
-    return (null_safe_join(cut, carried, [*keys, STRETCH])
-            .withColumn(name, F.row_number().over(here) + F.col("_before"))
-            .drop("_before", STRETCH))
+    keys = list(keys)
+    placed = in_ranges(rows, keys, order)
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1
+    whole = [F.sum("_rows").over(W.partitionBy(*keys)).alias(total)] if total else []
+    carried = counts.select(*keys, "_range", shift.alias("_shift"), *whole)
+    return (null_safe_join(placed, carried, [*keys, "_range"])
+            .withColumn(name, F.col("_place") + F.col("_shift"))
+            .drop("_place", "_range", "_shift"))

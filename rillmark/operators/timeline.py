@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.functions import DAY_MS, HOUR_MS, MINUTE_MS, price_of
+from rillmark.functions import DAY_MS, HOUR_MS, price_of
 from rillmark.operators.definitions import Segment
 from rillmark.operators.scan import STRETCH, null_safe_join, positions, previous, running
 from rillmark.operators.segments import Measures, candidate_segments, is_cart, is_purchase, viewed_category
@@ -23,10 +23,10 @@ def _no_spend() -> Column:
     return F.lit(0).cast(SUM_TYPE)
 
 
-def profile_timeline(events: DataFrame, stretch_ms: int = MINUTE_MS) -> DataFrame:
+def profile_timeline(events: DataFrame) -> DataFrame:
     """Events of each profile numbered by ``(timestamp_ms, event_id)``."""
     rows = events.select("profile_id", "event_id", "timestamp_ms")
-    return positions(rows, ["profile_id"], ["timestamp_ms", "event_id"], stretch_ms)
+    return positions(rows, ["profile_id"], ["timestamp_ms", "event_id"])
 
 
 def _entering_and_leaving(own: Column, days: Sequence[int], rest: Sequence[Column]) -> Column:

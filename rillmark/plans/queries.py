@@ -330,14 +330,14 @@ def dedup_state_size(spark, sf_dir):
 @register
 def dedup_state_peak(spark, sf_dir):
     rows = samples.delivered(_readings(spark, sf_dir))
-    trace = dedup.state_trace(rows, "device_id", "sequence", ARRIVAL_ORDER, 16, 500, 100_000)
+    trace = dedup.state_trace(rows, "device_id", "sequence", ARRIVAL_ORDER, 16, 500)
     return dedup.state_peak(trace, rows, "device_id", 16)
 
 
 @register
 def dedup_state_trace(spark, sf_dir):
     rows = samples.delivered(_readings(spark, sf_dir))
-    return dedup.state_trace(rows, "device_id", "sequence", ARRIVAL_ORDER, 16, 500, 100_000)
+    return dedup.state_trace(rows, "device_id", "sequence", ARRIVAL_ORDER, 16, 500)
 
 
 @register

@@ -102,7 +102,7 @@ def test_state_size_and_trace(spark):
     peak = sum(len(m.held) for m in memories.values())
     size = dedup.state_size(rows, "device", "seq", cap).first()
     assert (size.entries, size.groups) == (peak, len(memories))
-    got = dedup.state_trace(rows, "device", "seq", ORDER, cap, every, 64)
+    got = dedup.state_trace(rows, "device", "seq", ORDER, cap, every)
     listed = {r["sample"]: r["entries"] for r in got.collect()}
     carried = 0
     for sample in sorted(trace):

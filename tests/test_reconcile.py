@@ -5,7 +5,7 @@ from helpers import readings
 from pyspark.sql import functions as F
 
 from rillmark.operators import digest, metrics, reconcile
-from rillmark.operators.scan import positions, running
+from rillmark.operators.scan import in_ranges, positions, running
 
 
 def sets(spark, **groups):
@@ -93,9 +93,22 @@ def test_running_and_positions_like_a_loop(spark):
     for r in running(df, ["k"], "at", 7, sums=["v"], highs=["i"]).collect():
         upto = [x for x in rows if x[0] == r.k and x[1] <= r["at"]]
         assert (r.run_v, r.run_i) == (sum(x[2] for x in upto), max(x[3] for x in upto))
-    ranked = {r.i: r.position for r in positions(df, ["k"], ["at", "i"], 7).collect()}
+    ranked = {r.i: r.position for r in positions(df, ["k"], ["at", "i"]).collect()}
     for key in "ab":
         own = sorted((x[1], x[3]) for x in rows if x[0] == key)
         assert [ranked[i] for _, i in own] == list(range(1, len(own) + 1))
-    everything = {r.i: r.position for r in positions(df, [], ["at", "i"], 10).collect()}
+    everything = {r.i: r.position for r in positions(df, [], ["at", "i"]).collect()}
     assert [everything[i] for _, i in sorted((x[1], x[3]) for x in rows)] == list(range(1, 301))
+
+
+def test_positions_split_a_hot_moment(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "if(id % 3 = 0, 7, id) AS at", "id AS i")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in in_ranges(rows, ["k"], ["at", "i"]).groupBy("_range").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(sizes) > 2 and sizes[-1] <= 1.5 * sizes[len(sizes) // 2]
+    hot = positions(rows, ["k"], ["at", "i"], total="n").where("k = 'hot'")
+    assert hot.where("position = i / 3 + 1 AND n = 10000").count() == 10_000
