@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, codes, licenses, mainhtml, mixing, quality, sharding, simhash, syncmers, warc
+from rillmark.llm import alignment, bpe, codes, licenses, mainhtml, merkle, mixing, quality, sharding, simhash, syncmers, warc
 from rillmark.llm.common import table
 from rillmark.session import materialise, new_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORD_BPE, END_ID = "word_bpe_49k.json", 2
 
 
@@ -70,5 +71,21 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
                        syncmers.digest(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)
+    rows = alignment.translation(table(spark, sf_dir, "documents"), path_a, path_b)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": F.when(altered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    siblings = F.array_join(F.transform("path", lambda step: step["sibling"]), "")
+    folded = F.element_at("version", -1)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root"),
+                       (folded == F.col("root")).alias("verified"))
+
+
 REGISTERED = {query.__name__: query for query in (
-    op1_bpe, op2_warc, op3_mixing, op4_licenses, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers)}
+    op1_bpe, op2_warc, op3_mixing, op4_licenses, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers,
+    op11_alignment, op13_merkle)}

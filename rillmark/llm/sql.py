@@ -115,4 +115,55 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM facts
 """
 
-ORACLES = {"op2_warc": OP2, "op3_mixing": OP3, "op4_licenses": OP4, "op6_quality": OP6}
+def _leaf_part(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+
+
+OP13 = f"""
+WITH RECURSIVE documents_ AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: i::UBIGINT)),
+             lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS crc
+  FROM documents),
+hashed AS (
+  SELECT *, sha256({" || ".join(map(_leaf_part, ("doc_id","source","lang","n_chars","text")))}) AS leaf,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 7 = 0 THEN
+         sha256({" || ".join(map(_leaf_part, ("doc_id","source","lang")))} || {_leaf_part("(n_chars + 1)")} || {_leaf_part("text")}) END AS tampered
+  FROM documents_),
+leaves AS (
+  SELECT doc_id, lang, leaf, coalesce(tampered, leaf) AS claimed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+nodes(lang, level, pos, n, digest) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops(level, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT row_number() OVER () AS r, l.doc_id, l.leaf, l.claimed, l.lang, l.pos, s.subroot, s.height, s.pos AS top_pos,
+         (SELECT digest FROM tops WHERE n = 1) AS root, (SELECT max(level) FROM tops) AS top_height
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+folds(r, level, digest, proof) AS (
+  SELECT r, 0, claimed, '' FROM steps
+  UNION ALL
+  SELECT f.r, f.level + 1,
+         CASE WHEN (CASE WHEN f.level < s.height THEN s.pos >> f.level ELSE s.top_pos >> (f.level - s.height) END) % 2 = 1
+              THEN sha256(coalesce(x.digest, y.digest, '') || f.digest) ELSE sha256(f.digest || coalesce(x.digest, y.digest, '')) END,
+         f.proof || coalesce(x.digest, y.digest, '')
+  FROM folds f JOIN steps s ON f.r = s.r
+  LEFT JOIN nodes x ON f.level < s.height AND x.lang IS NOT DISTINCT FROM s.lang AND x.level = f.level AND x.pos = xor(s.pos >> f.level, 1)
+  LEFT JOIN tops y ON f.level >= s.height AND y.level = f.level - s.height AND y.pos = xor(s.top_pos >> (f.level - s.height), 1)
+  WHERE f.level < s.height + s.top_height)
+SELECT s.doc_id, s.leaf, s.subroot, s.root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = s.root AS verified
+FROM steps s JOIN folds f ON s.r = f.r AND f.level = s.height + s.top_height
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_mixing": OP3, "op4_licenses": OP4, "op6_quality": OP6, "op13_merkle": OP13}
