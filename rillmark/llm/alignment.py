@@ -35,7 +35,7 @@ from rillmark.session import materialise
 #: Bytes of a range of a long text, fragments put together by one task, pairs that may be broadcast.
 CHUNK, FAN, HEAVY = 32_768, 8, 65_536
 #: Characters of remembered pieces in a worker, and the longest piece worth it. Both bound memory only.
-REMEMBERED, LONGEST = 4_500_000, 64
+REMEMBERED, LONGEST = 2_500_000, 64
 #: Bits for the second id of a pair.
 SHIFT = 32
 _SPACES = np.array([code for code in range(0x10000) if chr(code).isspace()], np.uint32)
@@ -224,6 +224,17 @@ class Fragment:
         return Fragment(cut, left, Closed.joined(closed), right, valid)
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes`` values from each of ``starts`` on, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _inner(word: str) -> bool:
+    """Whether a word begins and ends with something other than white space."""
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+
 class Aligner:
     """Encodes texts by both tokenizers, with the closed fragments of pieces met before."""
 
@@ -236,13 +247,38 @@ class Aligner:
     def load(path_a: str, path_b: str) -> Aligner:
         return Aligner(path_a, path_b)
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.counts = np.zeros((1024, 4), np.int64)  # n_a, n_b, groups, links
-        self.links, self.used = np.zeros(4096, np.int64), 0
-        self.starts = np.zeros(1024, np.int64)
-        self.held = 0
+    def forget(self, most: int = 0) -> None:
+        """Forget all pieces, or those used least, until the others have at most ``most`` characters."""
+        kept, least = [], 2
+        while most:
+            kept = [(word, at) for word, at in self.known.items() if at >= 0 and self.uses[at] >= least]
+            if sum(len(word) + 1 for word, _ in kept) <= most:
+                break
+            least *= 2
+        at = np.array([at for _, at in kept], np.int64)
+        old = (self.texts, self.counts, self.links, self.starts) if kept else ()
+        self.held = sum(len(word) + 1 for word, _ in kept)
+        self.known: dict[str, int] = {word: number for number, (word, _) in enumerate(kept)}
+        self.texts: list[str] = [old[0][place] for place in at.tolist()]
+        size = max(1024, 2 * len(at))
+        self.counts, self.starts = np.zeros((size, 4), np.int32), np.zeros(size, np.int64)  # n_a, n_b, groups, links
+        self.uses, self.links, self.used = np.zeros(size, np.int32), np.zeros(8 * size, np.int64), 0
+        if kept:
+            self._store(old[1][at], _gather(old[2], old[3][at], old[1][at, 3]), 0)
+
+    def _store(self, counts: np.ndarray, links: np.ndarray, first: int) -> None:
+        """Put the counts and links of new pieces behind those of the first ones."""
+        end = first + len(counts)
+        if end > len(self.counts):
+            more = max(end, 2 * len(self.counts)) - len(self.counts)
+            self.counts = np.concatenate([self.counts, np.zeros((more, 4), np.int32)])
+            self.starts, self.uses = np.append(self.starts, np.zeros(more, np.int64)), np.append(self.uses, np.zeros(more, np.int32))
+        if self.used + len(links) > len(self.links):
+            self.links = np.append(self.links, np.zeros(max(len(links), len(self.links)), np.int64))
+        self.counts[first:end] = counts
+        self.starts[first:end] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+        self.links[self.used:self.used + len(links)] = links
+        self.used += len(links)
 
     def tokens(self, piece: str) -> Open | None:
         """Of a text that begins with a blank; None if a tokenizer does not give back its bytes."""
@@ -263,17 +299,8 @@ class Aligner:
         ends = np.cumsum([len(word.encode()) + 1 for word in words])
         texts, link_part, links, group_part = _aligned(tokens, ends)
         new, first = len(words), len(self.texts)
-        while first + new > len(self.counts):
-            self.counts, self.starts = np.concatenate([self.counts, 0 * self.counts]), np.concatenate([self.starts, 0 * self.starts])
-        while self.used + len(links) > len(self.links):
-            self.links = np.concatenate([self.links, 0 * self.links])
-        per_link = np.bincount(link_part, minlength=new)
-        self.counts[first:first + new] = np.stack([
-            np.bincount(np.searchsorted(ends, tokens.a_ends), minlength=new), np.bincount(np.searchsorted(ends, tokens.b_ends), minlength=new),
-            np.bincount(group_part, minlength=new), per_link], axis=1)
-        self.starts[first:first + new] = self.used + np.cumsum(per_link) - per_link
-        self.links[self.used:self.used + len(links)] = links
-        self.used += len(links)
+        counts = [np.searchsorted(ends, tokens.a_ends), np.searchsorted(ends, tokens.b_ends), group_part, link_part]
+        self._store(np.stack([np.bincount(part, minlength=new) for part in counts], axis=1), links, first)
         self.texts += texts
         self.known.update(zip(words, range(first, first + new)))
         self.held += int(ends[-1])
@@ -281,14 +308,14 @@ class Aligner:
     def closed(self, texts: list[list[str]]) -> list[Closed | None]:
         """The groups of lists of words, each with a blank before it, cut where a single blank stands between two other characters."""
         if self.held > REMEMBERED:
-            self.forget()
+            self.forget(REMEMBERED // 2)
         found = [list(map(self.known.get, words)) for words in texts]
         if new := {word: None for words, places in zip(texts, found) if None in places for word, at in zip(words, places) if at is None}:
             self._learn([*new])
             found = [list(map(self.known.get, words)) if None in places else places for words, places in zip(texts, found)]
         out = [self._gathered(places) for places in found]
         for word in new:
-            if len(word) > LONGEST:
+            if len(word) > LONGEST or not _inner(word):  # a known word stands for one that may be cut out
                 del self.known[word]
         return out
 
@@ -296,18 +323,17 @@ class Aligner:
         at = np.array(found, np.int64)
         if len(at) and at.min() < 0:
             return None
+        self.uses[at] += 1
         counts = self.counts[at]
-        n_a, n_b, groups, links = counts.sum(axis=0).tolist()
-        sizes = counts[:, 3]
-        before = np.cumsum(sizes) - sizes
-        all_links = self.links[np.repeat(self.starts[at] - before, sizes) + np.arange(links)]
+        n_a, n_b, groups, links = counts.sum(axis=0, dtype=np.int64).tolist()
+        all_links = _gather(self.links, self.starts[at], counts[:, 3])
         return Closed(n_a, n_b, groups, ";".join(map(self.texts.__getitem__, found)), *_counted(all_links))
 
     def words(self, text: str) -> list[str]:
         """``text`` cut where a single blank stands between two characters other than white space."""
         words = text.split(" ")
         known = self.known
-        if all(word in known or word and not word[0].isspace() and not word[-1].isspace() for word in words[1:-1]) and (
+        if all(word in known or _inner(word) for word in words[1:-1]) and (
                 len(words) == 1 or words[0] and not words[0][-1].isspace() and words[-1] and not words[-1][0].isspace()):
             return words
         out = [words[0]]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import alignment, bpe, codes, licenses, mainhtml, merkle, mixing, quality, sharding, simhash, syncmers, warc
+from rillmark.llm import alignment, bpe, codes, jaccard, licenses, mainhtml, merkle, mixing, quality, sharding, simhash, syncmers, warc
 from rillmark.llm.common import table
 from rillmark.session import materialise, new_path
 
@@ -77,6 +77,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     rows = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": F.when(altered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
@@ -88,4 +92,4 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = {query.__name__: query for query in (
     op1_bpe, op2_warc, op3_mixing, op4_licenses, op5_simhash, op6_quality, op7_codes, op8_sharding, op9_main_text, op10_syncmers,
-    op11_alignment, op13_merkle)}
+    op11_alignment, op12_jaccard, op13_merkle)}
