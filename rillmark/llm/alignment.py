@@ -465,47 +465,54 @@ def _long_texts(docs: DataFrame, a: str, b: str, digest: bool, chunk: int) -> Da
                     {"row": row["row"], "chunk": number, "chunks": len(found), "doc_id": row["doc_id"], "text": text, "low": low,
                      "high": high, "start": offset} for number, (text, offset, low, high) in enumerate(found)], cut_schema)
 
-    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner.load(a, b)
-        for batch in batches:
-            for row in _rows(batch, 16):
-                made = aligner.fragment(row["text"], row["low"], row["high"], row["start"])
-                yield pa.RecordBatch.from_pylist([_as_row(made, row["row"], row["chunk"], row["chunks"], row["doc_id"])], _FRAGMENT)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = None, []
-
-        def put(rows: list[dict]) -> pa.RecordBatch:
+    done_schema = pa.schema([("doc_id", pa.string()), *_DONE])
+
+    def put(made: Fragment, row: int, number: int, count: int, key: str, last: bool) -> pa.RecordBatch:
+        if last:
+            return pa.RecordBatch.from_pylist([_done(made, digest) | {"doc_id": key}], done_schema)
+        return pa.RecordBatch.from_pylist([_as_row(made, row, number, count, key)], _FRAGMENT)
+
+    # The last step gives results itself: a step of its own in the same tasks would double the Python workers and what they remember.
+    def fragments(last: bool):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            aligner = Aligner.load(a, b)
+            for batch in batches:
+                for row in _rows(batch, 16):
+                    own = aligner.fragment(row["text"], row["low"], row["high"], row["start"])
+                    yield put(own, row["row"], row["chunk"], row["chunks"], row["doc_id"], last)
+
+        return made
+
+    def joined(last: bool):
+        def put_all(rows: list[dict]) -> pa.RecordBatch:
             first = rows[0]
-            made = Fragment.joined([_from_row(row) for row in rows])
-            return pa.RecordBatch.from_pylist([_as_row(made, first["row"], first["chunk"] // FAN, -(-first["chunks"] // FAN), first["doc_id"])],
-                                              _FRAGMENT)
-
-        for batch in batches:
-            for row in _rows(batch, FAN):
-                if (key := (row["row"], row["chunk"] // FAN)) != own:
-                    if held:
-                        yield put(held)
-                    own, held = key, []
-                held.append(row)
-        if held:
-            yield put(held)
-
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch, 1):
-                made = _done(_from_row(row), digest) | {"doc_id": row["doc_id"]}
-                yield pa.RecordBatch.from_pylist([made], pa.schema([("doc_id", pa.string()), *_DONE]))
+            own = Fragment.joined([_from_row(row) for row in rows])
+            return put(own, first["row"], first["chunk"] // FAN, -(-first["chunks"] // FAN), first["doc_id"], last)
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, held = None, []
+            for batch in batches:
+                for row in _rows(batch, FAN):
+                    if (key := (row["row"], row["chunk"] // FAN)) != own:
+                        if held:
+                            yield put_all(held)
+                        own, held = key, []
+                    held.append(row)
+            if held:
+                yield put_all(held)
+
+        return made
 
     # Stored, so that the numbers of the rows stay the same in every later attempt.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     cuts = materialise(rows.mapInArrow(cut, "row long, chunk long, chunks long, doc_id string, text string, low long, high long, start long"), "align-ranges")
     most = cuts.agg(F.max("chunks")).first()[0] or 1
-    made = cuts.repartition("row", "chunk").mapInArrow(fragments, _FRAGMENT_DDL)
+    results = f"doc_id string, {_DONE_DDL}"
+    made = cuts.repartition("row", "chunk").mapInArrow(fragments(most == 1), results if most == 1 else _FRAGMENT_DDL)
     while most > 1:
-        near = made.repartition("row", F.floor(F.col("chunk") / FAN)).sortWithinPartitions("row", "chunk")
-        made, most = near.mapInArrow(joined, _FRAGMENT_DDL), -(-most // FAN)
-    return made.mapInArrow(done, f"doc_id string, {_DONE_DDL}").withColumn("doc_id", F.col("doc_id").cast(kind))
+        near, most = made.repartition("row", F.floor(F.col("chunk") / FAN)).sortWithinPartitions("row", "chunk"), -(-most // FAN)
+        made = near.mapInArrow(joined(most == 1), results if most == 1 else _FRAGMENT_DDL)
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def align(df: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False, chunk: int = CHUNK) -> DataFrame:
