@@ -1,23 +1,30 @@
 """The stages against plain Python, and their edges."""
 
+import re
+
 import corpus_pipeline
 import tiktoken
 from pyspark.sql import functions as F
 
-from rillmark.llm import bpe, mixing, quality, simhash
+from rillmark.llm import bpe, mixing, quality
+
+
+def shingles(text, size=5):
+    words = [re.sub("[A-Z]", lambda c: c[0].lower(), word) for word in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
 def test_run_equals_the_operators_one_by_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = [row for row in quality.assess(docs).collect() if row["kept"]]
-    points = [(simhash.fingerprint_of(row["clean_text"], 5), row["doc_id"]) for row in kept]
-    gone, label = set(), {doc: doc for _, doc in points}
+    sets = [(row["doc_id"], shingles(row["clean_text"])) for row in kept]
+    label = {doc: doc for doc, _ in sets}
     changed = True
     while changed:
         changed = False
-        for a, i in points:
-            for b, j in points:
-                if label[j] < label[i] and (a ^ b).bit_count() <= simhash.WIDE:
+        for i, own in sets:
+            for j, other in sets:
+                if label[j] < label[i] and len(own & other) >= 0.8 * len(own | other):
                     label[i], changed = label[j], True
     gone = {doc for doc, root in label.items() if doc != root}
     left = [row for row in kept if row["doc_id"] not in gone]
