@@ -63,7 +63,7 @@ def naive_percentile(values, share):
 def test_floor_rank_percentiles(spark, values):
     shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     rows = spark.createDataFrame([(v,) for v in values], "v long")
-    got = metrics.floor_rank_percentiles(rows, "v", shares, "low", "high", stretch=4).first().asDict()
+    got = metrics.floor_rank_percentiles(rows, "v", shares, "low", "high", buckets=4).first().asDict()
     want = {name: naive_percentile(values, share) for name, share in shares.items()}
     assert got == {**want, "low": min(values, default=0), "high": max(values, default=0), "n": len(values)}
     assert metrics.approximate_percentiles(rows, "v", shares).count() == 1
@@ -112,3 +112,34 @@ def test_positions_split_a_hot_moment(spark):
     assert len(sizes) > 2 and sizes[-1] <= 1.5 * sizes[len(sizes) // 2]
     hot = positions(rows, ["k"], ["at", "i"], total="n").where("k = 'hot'")
     assert hot.where("position = i / 3 + 1 AND n = 10000").count() == 10_000
+
+
+@pytest.mark.parametrize("buckets", [3, 1024])
+def test_percentiles_of_any_values(spark, buckets):
+    rng = random.Random(buckets)
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "fractions": [rng.random() for _ in range(2000)],
+        "ties": [rng.choice([-1.5, 0.0, 2.25]) for _ in range(500)] + [7.0],
+        "magnitudes": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(500)] + [1.7e308, -1.7e308, 5e-324, 0.0],
+        "not finite": [nan, inf, -inf, nan, 1.0, -inf, 3.0],
+        "one": [4.5], "all nan": [nan, nan], "none": []}
+    shares = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    for name, values in cases.items():
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        got = metrics.floor_rank_percentiles(rows, "v", shares, "low", "high", buckets).first().asDict()
+        ordered = sorted(values, key=lambda v: (v != v, 0 if v != v else v))
+        want = {key: ordered[max(1, int(share * len(ordered))) - 1] if ordered else 0.0 for key, share in shares.items()}
+        want |= {"low": ordered[0] if ordered else 0.0, "high": ordered[-1] if ordered else 0.0, "n": len(values)}
+        assert repr(got) == repr({key: want[key] for key in got}), name
+    ends = [-2 ** 63, 2 ** 63 - 1, 2 ** 62, 2 ** 62 + 1, 2 ** 62 + 2, -5, 0]
+    rows = spark.createDataFrame([(v,) for v in ends], "v long")
+    got = metrics.floor_rank_percentiles(rows, "v", {"p50": 0.5, "p90": 0.9}, buckets=buckets).first()
+    assert (got.p50, got.p90, got.min_ms, got.max_ms) == (sorted(ends)[2], sorted(ends)[5], min(ends), max(ends))
+
+
+def test_percentiles_leave_no_rows_to_one_task(spark):
+    rows = spark.range(0, 200_000, 1, 8).select(F.rand(7).alias("v"))
+    got = metrics.floor_rank_percentiles(rows, "v", {"p50": 0.5}).first()
+    values = sorted(row.v for row in rows.collect())
+    assert got.p50 == values[99_999] and got.n == 200_000
