@@ -10,7 +10,7 @@ shingles occur in the text.
 Defined results: null and empty texts, and those of fewer than five words, match nothing; repeated rows are reported once each; a
 template of fewer than five words is refused; an empty table gives an empty result. Only the id and the text are used.
 
-Scale: row expressions up to the candidates; only texts with a candidate window go on. The templates are a list in the query, bounded by
+Scale: bands are taken of the windows that hold a shingle of some template, since no other can meet one. Row expressions up to the candidates; only texts with a candidate window go on. The templates are a list in the query, bounded by
 ``MOST`` shingles in all, so what goes to every task does not grow with the data.
 """
 
@@ -69,26 +69,16 @@ def shingles(words: Column) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + at) for at in range(SHINGLE)]))
 
 
-def orders(hashes: Column) -> list[Column]:
-    """``PERMUTATIONS`` hash orders of shingles."""
-
-    def salted(number: int) -> Column:
-        return F.transform(hashes, lambda x: F.xxhash64(x, F.lit(number)))
-
-    return [hashes, *map(salted, range(1, PERMUTATIONS))]
-
-
-def _bands(ordered: list[Column], start: Column) -> list[Column]:
+def _bands(hashes: Column, start: Column) -> list[Column]:
+    """Smallest and largest shingle of a window under each hash order."""
     # The first window of a text begins before it, so that every shingle lies in two.
-    windows = [F.slice(hashes, F.greatest(start, F.lit(0)) + 1, F.least(start, F.lit(0)) + WINDOW) for hashes in ordered]
-    return [band for window in windows for band in (F.array_min(window), F.array_max(window))]
+    window = F.slice(hashes, F.greatest(start, F.lit(0)) + 1, F.least(start, F.lit(0)) + WINDOW)
 
+    def salted(number: int) -> Column:
+        return F.transform(window, lambda x: F.xxhash64(x, F.lit(number)))
 
-def _with(values: list[Column], body):
-    """``body`` of several values, each evaluated once."""
-    if not values:
-        return body([])
-    return let(values[0], lambda first: _with(values[1:], lambda rest: body([first, *rest])))
+    ordered = [window, *map(salted, range(1, PERMUTATIONS))]
+    return [band for values in ordered for band in (F.array_min(values), F.array_max(values))]
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
@@ -96,7 +86,7 @@ def template_table(spark, templates: dict[str, str]) -> DataFrame:
     rows = spark.createDataFrame(list(templates.items()), "license string, template string")
     hashed = rows.withColumn("shingles", shingles(words_of(F.col("template"))))
     starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - WINDOW, F.lit(0)))
-    bands = _with(orders(F.col("shingles")), lambda ordered: F.transform(starts, lambda start: F.array(*_bands(ordered, start))))
+    bands = F.transform(starts, lambda start: F.array(*_bands(F.col("shingles"), start)))
     return hashed.select("license", F.array_distinct("shingles").alias("distinct_shingles"), bands.alias("bands"))
 
 
@@ -110,15 +100,19 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "do
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}" if short else f"more than {MOST} shingles of templates")
     sets = [sorted({window[band] for row in known for window in row["bands"]}) for band in range(2 * PERMUTATIONS)]
 
-    def candidates(ordered: list[Column]) -> Column:
-        starts = F.when(F.size(ordered[0]) > 0, F.sequence(F.lit(-STRIDE), F.size(ordered[0]) - 1, F.lit(STRIDE))).otherwise(
-            F.array().cast("array<int>"))
-        hit = lambda start: reduce(or_, [band.isin(values) for band, values in zip(_bands(ordered, start), sets)])
-        return F.flatten(F.transform(F.filter(starts, hit), lambda start: F.array(*_bands(ordered, start))))
+    own = sorted({shingle for row in known for shingle in row["distinct_shingles"]})
+
+    def candidates(h: Column) -> Column:
+        # A band is a shingle of its window, so only windows that hold a shingle of some template can meet one.
+        places = F.filter(F.transform(h, lambda x, i: F.when(x.isin(own), i)), lambda i: i.isNotNull())
+        starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(
+            *[i - F.pmod(i, F.lit(STRIDE)) - back for back in range(0, WINDOW, STRIDE)]))))
+        hit = lambda start: reduce(or_, [band.isin(values) for band, values in zip(_bands(h, start), sets)])
+        return F.flatten(F.transform(F.filter(starts, hit), lambda start: F.array(*_bands(h, start))))
 
     hashes = shingles_of(quoted(text))
     found = df.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("string").alias("text"),
-                      let(hashes, lambda h: _with(orders(h), candidates)).alias("bands"))
+                      let(hashes, candidates).alias("bands"))
     texts = found.where(F.size("bands") > 0).withColumn("hashes", shingles_of(F.col("text"))).drop("text")
     # A template is retrieved if one of its bands is among those of a candidate window.
     whole = F.array(*[F.struct(F.lit(row["license"]).alias("license"), F.lit(row["distinct_shingles"]).alias("own"),
