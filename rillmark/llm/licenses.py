@@ -54,6 +54,28 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
                  "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
                  "commercial or non-commercial, and by any means.",
+    "LGPL notice": "GNU Lesser General Public License",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL notice": "GNU Affero General Public License",
+    "MPL-2.0 short": "Mozilla Public License Version 2.0",
+    "EPL-2.0 short": "Eclipse Public License Version 2.0",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+               "available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC-BY-SA-4.0 short": "CC BY-SA 4.0",
+    "CC-BY-ND-4.0 short": "CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0 short": "CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0 short": "CC BY-NC-ND 4.0",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission.",
+    "Apache-2.0 SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0 SPDX": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0 SPDX": "SPDX-License-Identifier: GPL-3.0",
+    "BSD-3-Clause SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "BSD-2-Clause SPDX": "SPDX-License-Identifier: BSD-2-Clause",
+    "MPL-2.0 SPDX": "SPDX-License-Identifier: MPL-2.0",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 

@@ -52,3 +52,14 @@ def test_no_python_on_the_executors(spark):
 
 def test_query(equals_sql):
     equals_sql(op4_licenses, "/root/testdata/sf0.01")
+
+
+def test_common_notices_are_told_apart(spark):
+    lines = {"This is under the GNU Lesser General Public License.": {"LGPL notice"}, "# SPDX-License-Identifier: GPL-2.0-only": {"GPL-2.0 SPDX"},
+             "Text: CC BY-SA 4.0, see below": {"CC-BY-SA-4.0 short"}, "Mozilla Public License Version 2.0 applies": {"MPL-2.0 short"},
+             "GNU Affero General Public License": {"AGPL notice"}, "the general public may license a mozilla": set()}
+    df = spark.createDataFrame([(number, "word " * 3000 + line) for number, line in enumerate(lines)], "doc_id long, text string")
+    found = {number: set() for number in range(len(lines))}
+    for row in licenses.scan(df).collect():
+        found[row["doc_id"]].add(row["license"])
+    assert [*found.values()] == [*lines.values()]
