@@ -68,6 +68,9 @@ class Bpe:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known = np.array([token is not None for token in self.tokens], dtype=bool)
+        # All tokens in one table of bytes, to decode from.
+        self.sizes = np.array([len(token or b"") for token in self.tokens], np.int64)
+        self.starts, self.table = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(token or b"" for token in self.tokens), np.uint8)
         # Rank of every pair of tokens that joins to a token, by both ids.
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -234,8 +237,19 @@ class Bpe:
         used = values[offsets[0]:]
         if len(used) and not (used.min() >= 0 and used.max() < len(self.known) and self.known[used].all()):
             raise ValueError("an id has no token")
-        token = self.tokens.__getitem__
-        return pa.array([b"".join(map(token, values[start:end].tolist())) for start, end in itertools.pairwise(offsets)], pa.binary())
+        parts, sizes = [], np.zeros(len(ids) + 1, np.int64)
+        for first in range(0, len(ids), 64):  # few texts at a time
+            ends = offsets[first:first + 65]
+            own = values[ends[0]:ends[-1]]
+            wide = self.sizes[own]
+            after = np.cumsum(wide)
+            places = np.arange(after[-1] if len(after) else 0) + np.repeat(self.starts[own] - after + wide, wide)
+            parts.append(self.table[places].tobytes())
+            sizes[first + 1:first + len(ends)] = np.diff(np.append(0, after)[np.array(ends) - ends[0]])
+        data, limits = b"".join(parts), np.cumsum(sizes)
+        if limits[-1] >= 1 << 31:  # too much for one Arrow array of 32-bit offsets
+            return pa.array([data[start:end] for start, end in itertools.pairwise(limits.tolist())], pa.large_binary()).cast(pa.binary())
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(data)])
 
 
 def _lists(parts: list[bytes], width: int, kind: pa.DataType, dtype: np.dtype) -> pa.Array:
