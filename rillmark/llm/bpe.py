@@ -3,7 +3,7 @@
 A text is split by the tokenizer's pattern into pre-tokens; within each, the adjacent pair of lowest rank is joined until no
 pair has a rank. Pending pairs lie in a queue with one bucket per rank: a two-level bitmap says which buckets hold something,
 so find-first-set gives the next rank, and a bucket lists positions in the linked list of symbols. An entry whose pair has changed
-since is stale and skipped. The pre-tokens of a text that are not remembered share one queue. A pre-token of n bytes takes O(n log n) steps however long it is.
+since is stale and skipped. The pre-tokens of a few texts that are not remembered share one queue. A pre-token of n bytes takes O(n log n) steps however long it is.
 
 Defined results: a null text encodes like an empty one, to no ids; null ids decode to empty bytes; an id without a token
 raises ``ValueError``. Rows are independent, so repeated rows, ties and empty tables need nothing special. An input column
@@ -32,6 +32,8 @@ BITS = 8
 _ONE = [1 << bit for bit in range(4096)]
 #: Entries of each generation that a worker remembers, and the longest piece worth it. Both bound memory only.
 REMEMBERED, LONGEST = 250_000, 48
+#: Texts whose new words share a queue.
+TEXTS = 64
 #: Bits for the second id of a pair.
 SHIFT = 20
 MARKS = ".,;:!?"
@@ -78,6 +80,12 @@ class Bpe:
                 if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
                     self.pairs[left << SHIFT | right] = rank
         self.bytes_to_ids = [ranks.get(bytes([byte]), -1) for byte in range(256)]
+        # Ids of bytes and ranks of byte pairs as tables; 256 stands for the mark between pre-tokens.
+        self.byte_ids = np.array([*self.bytes_to_ids, -1])
+        self.byte_pairs = np.full((257, 257), -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0], token[1]] = self.pairs.get(self.bytes_to_ids[token[0]] << SHIFT | self.bytes_to_ids[token[1]], -1)
         self.words = Memory()
 
     @staticmethod
@@ -90,24 +98,20 @@ class Bpe:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens, as 32-bit integers. They share one queue: pairs never reach over the marks between them."""
-        ids, starts, table = [-1], [], self.bytes_to_ids.__getitem__
-        for piece in pieces:
-            starts.append(len(ids))
-            ids += map(table, piece)
-            ids.append(-1)
-        size, rank_of = len(ids), self.pairs.get
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes + 1) - sizes
+        symbols = np.full(int(sizes.sum()) + len(pieces) + 1, 256, np.int64)
+        symbols[np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(pieces) + 1), sizes)] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids, starts, size, rank_of = self.byte_ids[symbols].tolist(), starts.tolist(), len(symbols), self.pairs.get
         after, before = [*range(1, size + 1)], [*range(-1, size - 1)]  # the linked list of symbols
         # Rank of the pair that starts here, -1 if none.
-        pending = [rank_of(left << SHIFT | right, -1) for left, right in itertools.pairwise(ids)]
-        pending.append(-1)
+        first = np.append(self.byte_pairs[symbols[:-1], symbols[1:]], -1)
+        pending, places = first.tolist(), np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        found, cuts = np.unique(first[places], return_index=True)
+        buckets = {rank: places[low:high].tolist() for rank, low, high in zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(places)])}
         # The queue: bit g of top is set if groups[g] is not 0, bit b of groups[g] if bucket g * 2**BITS + b holds something.
-        top, groups, buckets, low, one = 0, {}, {}, (1 << BITS) - 1, _ONE
-        for start, rank in enumerate(pending):
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(start)
-                else:
-                    buckets[rank] = [start]
+        top, groups, low, one = 0, {}, (1 << BITS) - 1, _ONE
         for rank in buckets:
             group = rank >> BITS
             groups[group] = groups.get(group, 0) | one[rank & low]
@@ -194,24 +198,31 @@ class Bpe:
         """Whether a word begins and ends with something other than white space."""
         return bool(word) and word[0] not in self.blanks and word[-1] not in self.blanks
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as 32-bit integers.
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as 32-bit integers.
 
-        A single blank between two other characters always begins a pre-token, so the text is cut there first, and each
-        word is looked up, with its blank, before it is encoded.
+        A single blank between two other characters always begins a pre-token, so texts are cut there first, and each
+        word is looked up, with its blank, before it is encoded. New words of all the texts are encoded together.
         """
-        words = text.split(" ")
-        found = list(map(self.words.young.get, words))
-        found[0] = None
-        missing = [at for at, packed in enumerate(found) if packed is None]
-        if not all(self._edges(words[at]) for at in missing):
-            return b"".join(self._pieces([self._cut(chunk) for chunk in self._chunks(words)]))
-        found[0], = self._pieces([self._cut(words[0])])
-        if len(missing) > 1:
-            learnt = self._learn({words[at] for at in missing[1:]})
-            for at in missing[1:]:
-                found[at] = learnt[words[at]]
-        return b"".join(found)
+        out: list[bytes | None] = [None] * len(texts)
+        regular, new = [], set()
+        for number, text in enumerate(texts):
+            words = text.split(" ")
+            found = list(map(self.words.young.get, words))
+            found[0] = None
+            missing = [at for at, packed in enumerate(found) if packed is None]
+            if all(self._edges(words[at]) for at in missing):
+                regular.append((number, words, found, missing))
+                new.update(words[at] for at in missing[1:])
+            else:
+                out[number] = b"".join(self._pieces([self._cut(chunk) for chunk in self._chunks(words)]))
+        learnt = self._learn(new)
+        first = self._pieces([self._cut(words[0]) for _, words, _, _ in regular])
+        for (number, words, found, missing), start in zip(regular, first):
+            for at in missing:
+                found[at] = learnt[words[at]] if at else start
+            out[number] = b"".join(found)
+        return out
 
     def _chunks(self, words: list[str]) -> Iterator[str]:
         """The text of these words, cut where a single blank stands between two other characters."""
@@ -226,8 +237,8 @@ class Bpe:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         parts = []
-        for start in range(0, len(texts), 256):  # few texts at a time as Python strings
-            parts += [self.packed(text or "") for text in texts.slice(start, 256).to_pylist()]
+        for start in range(0, len(texts), TEXTS):  # few texts at a time as Python strings
+            parts += self.packed([text or "" for text in texts.slice(start, TEXTS).to_pylist()])
         return _lists(parts, 4, pa.int32(), np.dtype("<i4"))
 
     def decode(self, ids: pa.Array) -> pa.Array:
