@@ -1,13 +1,13 @@
 """Line-first cleaning and quality rules.
 
-Each line is judged by itself: symbols (more than a third as many as words), navigation (separators between most words), shouting
-(capitals in most words), missing punctuation (many words without a sentence end), boilerplate (a stock phrase in a
-short line), and repetition (equal to an earlier line). Lines that fail are removed; a document that loses more than ``LOSS`` of
+Each line is judged by itself: symbols (more than a third as many as words), navigation (a separator for every two words or fewer), shouting
+(capitals in most words), missing punctuation (many words without a sentence end), boilerplate (stock phrases that
+fill a quarter of a short line), and repetition (equal to an earlier line). Lines that fail are removed, blank lines stay; a document that loses more than ``LOSS`` of
 the characters in its words is rejected, and so is one that fails the base rules: fewer than 50 words, or more than half of its
 words in three-word windows that occur twice or more.
 
-Defined results: a null or blank text has no words and is rejected; lines without a word count for nothing and are removed with the
-rest; rows are independent, so ties, repeated rows and empty tables need nothing special; only columns named like an output column
+Defined results: a null or blank text has no words and is rejected; lines without a word count for nothing and
+stay; rows are independent, so ties, repeated rows and empty tables need nothing special; only columns named like an output column
 are replaced.
 
 Everything is a row expression without a shuffle. Windows are found by sorting, per text, their hashes with their places.
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import WORD, quoted
 
 SYMBOLS = "[#*$%&|<>]"
-SEPARATORS = "[|»›•·/>]"
+#: A slash within a word (an address, a date, a path) separates nothing.
+SEPARATORS = r"[|»›•·>]|[\x20\x09-\x0D]/[\x20\x09-\x0D]"
 #: A run of capitals within a word.
 CAPITALS = r"\p{Lu}{2,}"
 #: A sentence end anywhere in the line.
 STOPS = r"[.!?…:;。！？،؟]"
-#: Phrases of page furniture, for lines of at most ``SHORT`` words.
+#: Phrases of page furniture, for lines of at most ``SHORT`` words that they fill to a quarter or more.
 PHRASES = ("cookie", "javascript", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here",
            "read more", "sign in", "log in", "subscribe", "newsletter", "skip to content", "share this", "lorem ipsum")
 SHORT = 12
@@ -83,10 +84,11 @@ def bad_line(line: Column) -> Column:
 
     def judged(words: Column) -> Column:
         symbols = count(line, SYMBOLS) * 3 > words
-        navigation = (words >= 3) & (count(line, SEPARATORS) * 2 > words)
+        navigation = (words >= 3) & (count(line, SEPARATORS) * 3 > words)
         shouting = (words >= 3) & (count(line, CAPITALS) * 2 > words)
         unpunctuated = (words >= 10) & ~F.rlike(line, F.lit(STOPS))
-        boilerplate = (words <= SHORT) & F.rlike(F.lower(line), F.lit("|".join(PHRASES)))
+        rest = F.regexp_replace(F.lower(line), "|".join(PHRASES), "")
+        boilerplate = (words <= SHORT) & (4 * (F.length(F.lower(line)) - F.length(rest)) >= F.length(F.lower(line)))
         return symbols | navigation | shouting | unpunctuated | boilerplate
 
     return let(count(line, WORD), judged)
@@ -96,18 +98,22 @@ def assess(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``clean_text``, ``clean_chars``,
     ``base_failed``, ``kept``."""
     content = F.coalesce(quoted(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(content, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
+    lines = F.transform(F.split(content, "\n"), lambda line, at: F.struct(line.alias("line"), at.alias("at")))
+    blank = lambda x: ~F.rlike(x["line"], F.lit(WORD))
     chars = lambda value: F.length(F.translate(value, " \t\n\x0b\x0c\r", ""))
 
-    def by_line(every: Column) -> Column:
-        return let(F.array_distinct(every), lambda distinct: F.struct(
-            (F.size(every) - F.size(distinct)).cast("long").alias("dup"),
-            F.array_join(F.filter(distinct, lambda line: ~bad_line(line)), "\n").alias("clean")))
+    def by_line(ordered: Column) -> Column:
+        """From lines with their places, equal ones next to each other in order of places."""
+        again = lambda x, i: (i > 0) & (F.get(ordered, i - 1)["line"] == x["line"])
+        stays = F.filter(ordered, lambda x, i: blank(x) | ~again(x, i) & ~bad_line(x["line"]))
+        in_text = F.sort_array(F.transform(stays, lambda x: F.struct(x["at"], x["line"])))
+        return F.struct(F.size(F.filter(ordered, lambda x, i: again(x, i) & ~blank(x))).cast("long").alias("dup"),
+                        F.array_join(F.transform(in_text, lambda x: x["line"]), "\n").alias("clean"))
 
     found = let(words_of(content), lambda w: F.struct(F.size(w).cast("long").alias("words"),
                                                       F.length(F.array_join(w, "")).cast("long").alias("chars"),
                                                       repeat_words(w).cast("long").alias("repeat")))
-    facts = df.withColumns({"quality_words": found, "quality_lines": let(lines, by_line)})
+    facts = df.withColumns({"quality_words": found, "quality_lines": let(F.sort_array(lines), by_line)})
     n, repeated = F.col("quality_words.words"), F.col("quality_words.repeat")
     out = facts.withColumns({
         "n_words": n, "word_chars": F.col("quality_words.chars"), "n_symbols": count(content, SYMBOLS).cast("long"),

@@ -95,14 +95,14 @@ lines AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
 counted AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
-         len(regexp_extract_all(line, '[|»›•·/>]')) AS separators, len(regexp_extract_all(line, '\p{Lu}{2,}')) AS capitals,
+         len(regexp_extract_all(line, '[|»›•·>]|[\x20\x09-\x0D]/[\x20\x09-\x0D]')) AS separators, len(regexp_extract_all(line, '\p{Lu}{2,}')) AS capitals,
          length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
   FROM lines),
 judged AS (
   SELECT r, sum(copies - 1) AS dup, sum(CASE WHEN
-           3 * symbols > n OR (n >= 3 AND (2 * separators > n OR 2 * capitals > n))
+           3 * symbols > n OR (n >= 3 AND (3 * separators > n OR 2 * capitals > n))
            OR (n >= 10 AND NOT regexp_matches(line, '[.!?…:;。！？،؟]'))
-           OR (n <= 12 AND regexp_matches(lower(line), 'cookie|javascript|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign in|log in|subscribe|newsletter|skip to content|share this|lorem ipsum'))
+           OR (n <= 12 AND 4 * (length(lower(line)) - length(regexp_replace(lower(line), 'cookie|javascript|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign in|log in|subscribe|newsletter|skip to content|share this|lorem ipsum', '', 'g'))) >= length(lower(line)))
          THEN 0 ELSE chars END) AS clean
   FROM counted GROUP BY r),
 facts AS (

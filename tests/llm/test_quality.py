@@ -63,3 +63,12 @@ def test_labelled_documents(spark):
     rows = op6_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
     assert all(row["kept"] for row in rows if row["quality"] == 1 and not row["base_failed"])
     assert not any(row["kept"] for row in rows if row["quality"] == 0)
+
+
+def test_clean_lines_stay_as_they_are(spark):
+    body = "\n\n".join([GOOD.format(n) for n in range(6)] + ["see https://example.org/a/b/c here", "born 03/04/1920 died 05/06/1990 in Rome.",
+                                                             "Readers subscribe to the theory of gravity today."])
+    furniture = ["Sign in / Register / Help / Contact", "Subscribe to our newsletter", "Home > Shop > Shoes"]
+    df = spark.createDataFrame([(1, body), (2, "\n".join([body, *furniture])), (3, "\n" + body + "\n")], "doc_id long, text string")
+    rows = {row["doc_id"]: row["clean_text"] for row in quality.assess(df).collect()}
+    assert rows == {1: body, 2: body, 3: "\n" + body + "\n"}
