@@ -22,7 +22,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,14 +182,14 @@ def _arrow_type(data_type: T.DataType) -> pa.DataType:
 
 
 def dedup_sharded(rows: DataFrame, id_column: str, order: Sequence[str], cap: int = 4_000_000,
-                  shards: int = 64, stretches: int | None = None) -> DataFrame:
+                  shards: int = 64, stretches: int | None = None, shard: Column | None = None) -> DataFrame:
     """One memory of ``cap`` ids for everything, split over ``shards`` by id hash.
 
     An approximation of a single queue: each shard keeps its own last
     ``cap / shards`` ids, so what is forgotten when differs slightly, while a
     repeat always meets the shard of its first copy.  Shards that are hot are cut
-    into stretches like any group.
+    into stretches like any group.  ``shard`` deals the ids in another way.
     """
-    sharded = rows.withColumn("_shard", shard_of(F.col(id_column), shards))
+    sharded = rows.withColumn("_shard", shard_of(F.col(id_column), shards) if shard is None else shard)
     admitted = dedup_bounded(sharded, "_shard", id_column, order, max(1, cap // shards), stretches)
     return admitted.select(*rows.columns)

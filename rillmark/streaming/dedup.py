@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -64,7 +64,7 @@ def dedup_bounded_stream(stream: DataFrame, group: str, id_column: str, order: S
 
 
 def dedup_sharded_stream(stream: DataFrame, id_column: str, order: Sequence[str], cap: int = 4_000_000,
-                         shards: int = 64) -> DataFrame:
+                         shards: int = 64, shard: Column | None = None) -> DataFrame:
     """Streaming form of ``dedup_sharded``, with the same remarks."""
-    keyed = stream.withColumn("_shard", shard_of(F.col(id_column), shards))
+    keyed = stream.withColumn("_shard", shard_of(F.col(id_column), shards) if shard is None else shard)
     return _remembering(keyed, "_shard", stream.schema, id_column, order, max(1, cap // shards))

@@ -28,7 +28,7 @@ def test_entry(spark):
 
 
 # Bounded memories follow each row in turn, which needs Python; nothing else does.
-WALKED = {"dedup_bounded"}
+WALKED = {"dedup_bounded", "dedup_sharded"}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTERED))
