@@ -205,7 +205,7 @@ FORGETFUL_SHARDS = """
     list({'held': [event_id], 'taken': [{'event_id': event_id, 'copy': copy}]} ORDER BY arrival, copy, n) AS rows
   FROM fx_storefront JOIN fx_arrival USING (n) GROUP BY shard),
 walked AS (SELECT list_reduce(rows, lambda memory, row: CASE WHEN list_contains(memory.held, row.held[1]) THEN memory
-    ELSE {'held': list_concat(memory.held, row.held)[-32:], 'taken': list_concat(memory.taken, row.taken)} END) AS memory FROM arrived),
+    ELSE {'held': list_concat(memory.held, row.held)[-64:], 'taken': list_concat(memory.taken, row.taken)} END) AS memory FROM arrived),
 kept AS (SELECT unnest(memory.taken) AS row FROM walked)
 SELECT row.event_id AS event_id, row.copy AS copy FROM kept
 """

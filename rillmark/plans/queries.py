@@ -321,9 +321,9 @@ def _md5_shard(shards: int):
 
 @register
 def dedup_sharded(spark, sf_dir):
-    """Sixteen shards that remember 32 ids each, so that they forget; ids are dealt by MD5, which SQL has too."""
+    """Sixteen shards that remember 64 ids each, so that they forget; ids are dealt by MD5, which SQL has too."""
     rows = samples.delivered(_storefront(spark, sf_dir)).select("event_id", *ARRIVAL_ORDER)
-    return bounded.dedup_sharded(rows, "event_id", ARRIVAL_ORDER, 512, 16, shard=_md5_shard(16)).select("event_id", "copy")
+    return bounded.dedup_sharded(rows, "event_id", ARRIVAL_ORDER, 1024, 16, shard=_md5_shard(16)).select("event_id", "copy")
 
 
 @register
@@ -331,7 +331,7 @@ def dedup_sharded_stream(spark, sf_dir, _stream=dedup_sharded_stream):
     rows = samples.delivered(_storefront(spark, sf_dir)).select("event_id", *ARRIVAL_ORDER)
     path = new_path(spark, "sharded")
     with rocksdb_state(spark):
-        stream = _stream(_one_by_one(spark, rows, 3), "event_id", ARRIVAL_ORDER, 512, 16, _md5_shard(16))
+        stream = _stream(_one_by_one(spark, rows, 3), "event_id", ARRIVAL_ORDER, 1024, 16, _md5_shard(16))
         finish(append_files(stream, f"{path}/rows", f"{path}/checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{path}/rows").select("event_id", "copy")
 
