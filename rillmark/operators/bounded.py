@@ -7,13 +7,15 @@ A group with at most ``cap`` distinct ids never forgets one, so there the first
 of each id is admitted: a plain aggregate.  In the other groups, whether a row is
 admitted depends on the admissions before it, which SQL cannot say.
 
-Their rows are cut into stretches by (group, order), so a group with a third of
-all rows becomes many stretches that run side by side.  A stretch needs to know
-the memory it starts with: it begins from a guess, and stretches whose
-predecessor ends differently from the guess are run again until nothing
-changes.  The first stretch of a group is right at once and each round settles
-at least one more, so the result is exact; as memories forget, two rounds are
-the common case.
+A task walks such a group in one pass.  The rows of groups of over ``WHOLE`` rows
+are cut into stretches by (group, order), so a group with a third of all rows
+becomes many stretches that run side by side.  A stretch needs to know the
+memory it starts with: it begins from a guess, and stretches whose predecessor
+ends differently from the guess are run again until nothing changes.  The first
+stretch of a group is right at once and each round settles at least one more, so
+the result is exact; as memories forget, two rounds are the common case.
+
+NULL is a group and an id like any other.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.operators.dedup import dedup_first, shard_of
+from rillmark.operators.scan import null_safe_join
 from rillmark.session import materialise
 
 DEFAULT_CAP = 4096
+#: A group of up to this many rows is walked by one task; larger ones are cut.
+WHOLE = 1_000_000
 
 
 class Memory:
@@ -51,6 +56,9 @@ class Memory:
         return True
 
 
+_KEY = ["_part", "_group"]
+
+
 def _stretches(batches, cap: int):
     """Walk sorted batches; yield ``(batch, verdicts, closed)`` where ``closed`` lists
     the stretches that ended with their memories.  A start row precedes its stretch."""
@@ -102,20 +110,40 @@ def dedup_bounded(rows: DataFrame, group: str | None, id_column: str, order: Seq
                   cap: int = DEFAULT_CAP, stretches: int | None = None) -> DataFrame:
     """The admitted rows.  ``order`` must be unique within a group.
 
-    ``stretches`` is the number of pieces the rows of forgetting groups are cut
-    into; by default the session's shuffle partitions.  Runs jobs at once.
+    With ``stretches`` the rows of all forgetting groups are cut into that many
+    pieces; without, those of large groups into as many as the session's shuffle
+    partitions.  The admitted rows are the same.  Runs jobs at once.
     """
     group_column = F.lit(0) if group is None else F.col(group)
     keyed = rows.withColumns({"_group": group_column, "_id": F.col(id_column)})
-    forgetting = materialise(
-        keyed.select("_group", "_id").distinct().groupBy("_group").agg(F.count(F.lit(1)).alias("_ids"))
-             .where(F.col("_ids") > cap).select("_group"), "forgetting")
-    if forgetting.isEmpty():
-        return dedup_first(keyed, ["_group", "_id"], order).select(*rows.columns)
-    plain = dedup_first(keyed.join(forgetting, "_group", "left_anti"), ["_group", "_id"], order)
-    count = stretches or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    walked = _walk(keyed.join(forgetting, "_group", "left_semi"), order, cap, count)
-    return plain.select(*rows.columns).unionByName(walked.select(*rows.columns))
+    copies = keyed.groupBy("_group", "_id").agg(F.count(F.lit(1)).alias("_copies"))
+    groups = copies.groupBy("_group").agg(F.count(F.lit(1)).alias("_ids"), F.sum("_copies").alias("_rows"))
+    whole = F.lit(False) if stretches else F.col("_rows") <= WHOLE
+    kind = F.when(F.col("_ids") <= cap, "plain").when(whole, "whole").otherwise("cut")
+    groups = materialise(groups.select("_group", kind.alias("_kind")), "groups")
+    # At most three rows.
+    kinds = {row["_kind"] for row in groups.select("_kind").distinct().collect()}
+    parts = {name: null_safe_join(keyed, groups.where(F.col("_kind") == name), ["_group"], "left_semi") if len(kinds) > 1 else keyed
+             for name in kinds}
+    admitted = keyed.limit(0)
+    if "plain" in parts:
+        admitted = dedup_first(parts["plain"], ["_group", "_id"], order)
+    if "whole" in parts:
+        walked = _walk_whole(parts["whole"], order, cap)
+        admitted = admitted.unionByName(walked) if "plain" in parts else walked
+    if "cut" in parts:
+        count = stretches or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        walked = _walk(parts["cut"], order, cap, count)
+        admitted = admitted.unionByName(walked) if len(kinds) > 1 else walked
+    return admitted.select(*rows.columns)
+
+
+def _walk_whole(keyed: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
+    """Admitted rows of groups that one task each walks."""
+    start_type = T.ArrayType(keyed.schema["_id"].dataType)
+    sorted_groups = keyed.repartition("_group").sortWithinPartitions("_group", *order)
+    marked = sorted_groups.withColumns({"_part": F.lit(0), "_start": F.lit(None).cast(start_type)})
+    return marked.mapInArrow(_admitted_rows(cap, keyed.schema.names), keyed.schema)
 
 
 def _walk(keyed: DataFrame, order: Sequence[str], cap: int, count: int) -> DataFrame:
@@ -151,27 +179,25 @@ def _walk(keyed: DataFrame, order: Sequence[str], cap: int, count: int) -> DataF
     no_starts = spark.createDataFrame([], T.StructType([*end_schema.fields[:2], T.StructField("_start", start_type)]))
     starts = no_starts
     if not crossing.isEmpty():
-        narrow = cut.select("_part", "_group", "_id", *sort_columns).join(crossing, "_group", "left_semi")
+        narrow = null_safe_join(cut.select("_part", "_group", "_id", *sort_columns), crossing, ["_group"], "left_semi")
         narrow = materialise(narrow, "crossing-rows")
         todo, todo_starts, ends = narrow, no_starts, None
         while True:
             fresh = materialise(sorted_with(todo, todo_starts).mapInArrow(_end_memories(cap, arrow_ends), end_schema),
                                 "memories")
             if ends is not None:
-                ends = materialise(ends.join(fresh, ["_part", "_group"], "left_anti").unionByName(fresh), "memories")
+                ends = materialise(null_safe_join(ends, fresh, _KEY, "left_anti").unionByName(fresh), "memories")
             else:
                 ends = fresh
             before = F.lag("_end").over(W.partitionBy("_group").orderBy("_part"))
             guessed = ends.select("_part", "_group", before.alias("_start")).where(F.col("_start").isNotNull())
-            changed = guessed.join(
-                starts.withColumnRenamed("_start", "_old"), ["_part", "_group"], "left").where(
-                F.col("_old").isNull() | (F.col("_old") != F.col("_start")))
+            changed = null_safe_join(guessed, starts.withColumnRenamed("_start", "_old"), _KEY, "left").where(
+                ~F.col("_old").eqNullSafe(F.col("_start")))
             changed = materialise(changed.select("_part", "_group", "_start"), "changed")
             if changed.isEmpty():
                 break
-            starts = materialise(
-                starts.join(changed, ["_part", "_group"], "left_anti").unionByName(changed), "starts")
-            todo = narrow.join(changed.select("_part", "_group"), ["_part", "_group"], "left_semi")
+            starts = materialise(null_safe_join(starts, changed, _KEY, "left_anti").unionByName(changed), "starts")
+            todo = null_safe_join(narrow, changed.select(*_KEY), _KEY, "left_semi")
             todo_starts = changed
     return sorted_with(cut, starts).mapInArrow(_admitted_rows(cap, out_schema.names), out_schema)
 

@@ -631,11 +631,12 @@ def segment_membership_all(spark, sf_dir):
 
 @register
 def segments_incremental(spark, sf_dir):
-    """The membership the stream itself writes over three micro-batches out of order, without a final pass."""
+    """The membership the stream itself writes over three micro-batches out of order, without a final pass.
+    After the second one the logs are merged and purchases out of reach are trimmed."""
     path = new_path(spark, "segments")
     rows = _arriving(_storefront(spark, sf_dir)).select(*STOREFRONT_EVENT.names, "arrival")
     events = _staged_stream(spark, rows, ["arrival"], 3)
-    finish(incremental_segments(events, standard_segments(), path, f"{path}/checkpoint"))
+    finish(incremental_segments(events, standard_segments(), path, f"{path}/checkpoint", compact_every=2))
     return current_segments(spark, path)
 
 

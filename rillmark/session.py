@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -41,27 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_MADE: list[str] = []
+#: What the innermost ``scratch`` block of this thread has to remove; None outside any.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used before."""
     path = f"{shared_folder(spark).rstrip('/')}/rillmark/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Removes the folders that operators made inside this block; consume or store results before it ends."""
-    before = len(_MADE)
+    """Removes the folders that operators made inside this block, in this thread; consume or store results before it ends.
+
+    What other threads make meanwhile, such as running streams, stays.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
     try:
         yield
     finally:
-        for path in _MADE[before:]:
+        _MADE.reset(token)
+        for path in made:
             hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-        del _MADE[before:]
 
 
 def materialise(df, name: str = "cut"):

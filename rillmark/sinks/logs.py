@@ -27,15 +27,26 @@ def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: str | No
     writer.parquet(f"{path}/delta/batch_id={batch_id}")
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the finished folders under ``path``."""
-    names = [n for n in child_names(spark, path) if n.startswith(prefix)]
-    return sorted(int(n[len(prefix):]) for n in names if path_exists(spark, f"{path}/{n}/{MARKER}"))
+def _listed(spark: SparkSession, path: str, prefix: str, after: int | None = None, before: int | None = None) -> list[int]:
+    """Numbers of the folders under ``path`` that lie between two others, finished or not, ascending."""
+    numbers = [int(n[len(prefix):]) for n in child_names(spark, path) if n.startswith(prefix)]
+    return sorted(k for k in numbers if (after is None or k > after) and (before is None or k < before))
 
 
-def merged_upto(spark: SparkSession, path: str) -> int | None:
-    bases = _numbers(spark, f"{path}/base", "upto=")
-    return bases[-1] if bases else None
+def _finished(spark: SparkSession, folder: str) -> bool:
+    return path_exists(spark, f"{folder}/{MARKER}")
+
+
+def merged_upto(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The last batch of the newest finished base, of those below ``before``."""
+    bases = reversed(_listed(spark, f"{path}/base", "upto=", before=before))
+    return next((k for k in bases if _finished(spark, f"{path}/base/upto={k}")), None)
+
+
+def _deltas(spark: SparkSession, path: str, after: int | None, before: int | None = None) -> list[int]:
+    """Finished batches that are not merged yet; merged ones are not asked for."""
+    listed = _listed(spark, f"{path}/delta", "batch_id=", after, before)
+    return [k for k in listed if _finished(spark, f"{path}/delta/batch_id={k}")]
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
@@ -44,10 +55,8 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, before: int |
     ``before`` leaves out batches from that one on, for a batch that is being retried.
     """
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    bases = [k for k in _numbers(spark, f"{path}/base", "upto=") if before is None or k < before]
-    upto = bases[-1] if bases else None
-    deltas = [k for k in _numbers(spark, f"{path}/delta", "batch_id=")
-              if (upto is None or k > upto) and (before is None or k < before)]
+    upto = merged_upto(spark, path, before)
+    deltas = _deltas(spark, path, upto, before)
     frames = []
     if upto is not None:
         base = spark.read.schema(schema).parquet(f"{path}/base/upto={upto}")
@@ -67,9 +76,9 @@ def compact_log(spark: SparkSession, path: str, schema: T.StructType, merge: Cal
     Superseded folders stay until removed by whoever owns the storage, so
     running readers are not disturbed.
     """
-    deltas = _numbers(spark, f"{path}/delta", "batch_id=")
     upto = merged_upto(spark, path)
-    if not deltas or (upto is not None and deltas[-1] <= upto):
+    deltas = _deltas(spark, path, upto)
+    if not deltas:
         return upto
     merged = merge(read_log(spark, path, schema)).select(*schema.names)
     writer = merged.write.mode("overwrite")

@@ -25,7 +25,13 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 class _FifoMemory(StatefulProcessor):
-    """Admits the rows of one group against the ids it still remembers."""
+    """Admits the rows of one group against the ids it still remembers.
+
+    The state lists admitted ids, the last ``cap`` of which are remembered.  A
+    micro-batch appends what it admits; the list is written anew, without what is
+    forgotten, when it would exceed twice ``cap``.  So per id admitted, at most
+    two are written, however large the memory is.
+    """
 
     def __init__(self, id_column: str, id_type: T.DataType, order: Sequence[str], columns: Sequence[str], cap: int):
         self.id_column, self.order, self.columns, self.cap = id_column, list(order), list(columns), cap
@@ -36,9 +42,15 @@ class _FifoMemory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(self.order)
-        memory = Memory(self.cap, [entry[0] for entry in self.queue.get()])
-        verdicts = [memory.admit(identifier) for identifier in batch[self.id_column].tolist()]
-        self.queue.put([(identifier,) for identifier in memory.queue])
+        listed = [entry[0] for entry in self.queue.get()]
+        memory = Memory(self.cap, listed[-self.cap:])
+        ids = batch[self.id_column].tolist()
+        verdicts = [memory.admit(identifier) for identifier in ids]
+        admitted = [(identifier,) for identifier, new in zip(ids, verdicts) if new]
+        if len(listed) + len(admitted) > 2 * self.cap:
+            self.queue.put([(identifier,) for identifier in memory.queue])
+        elif admitted:
+            self.queue.appendList(admitted)
         yield batch.loc[verdicts, self.columns]
 
     def close(self) -> None:

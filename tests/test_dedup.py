@@ -85,6 +85,20 @@ def test_bounded_like_a_loop(spark, cap, stretches):
     assert column(got, "arrival") == naive_bounded(delivered, cap)
 
 
+def test_whole_cut_and_plain_groups_side_by_side(spark, monkeypatch):
+    rng = random.Random(5)
+    delivered = [(rng.choice(["hot", "hot", "hot", "d1", None, "few"]), rng.randrange(25)) for _ in range(900)]
+    delivered = [(device, seq % 4 if device == "few" else None if seq == 24 else seq) for device, seq in delivered]
+    rows = spark.createDataFrame([(d, s, n) for n, (d, s) in enumerate(delivered)], "device string, seq long, arrival long")
+    want = naive_bounded(delivered, 6)
+    for whole in (200, 0, 10_000):  # the hot group is cut, all that forget are, none is
+        monkeypatch.setattr(bounded, "WHOLE", whole)
+        assert column(bounded.dedup_bounded(rows, "device", "seq", ["arrival"], 6), "arrival") == want
+    assert column(bounded.dedup_bounded(rows, "device", "seq", ["arrival"], 6, 5), "arrival") == want
+    assert bounded.dedup_bounded(rows.limit(0), "device", "seq", ["arrival"], 6).count() == 0
+    assert column(bounded.dedup_bounded(rows, None, "seq", ["arrival"], 6), "arrival") == naive_bounded([(0, s) for _, s in delivered], 6)
+
+
 def test_sharded_is_exact_while_nothing_is_forgotten(spark):
     delivered = random_arrivals(11)
     got = bounded.dedup_sharded(arrivals(spark, delivered), "seq", ORDER, cap=1000, shards=4)
