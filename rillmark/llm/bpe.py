@@ -136,15 +136,24 @@ class Bpe:
                 before[end] = start
                 pending[start] = right_rank = rank_of(rank << SHIFT | ids[end], -1)
                 pending[left] = left_rank = rank_of(ids[left] << SHIFT | rank, -1)
-                for near, place in ((right_rank, start), (left_rank, left)):
-                    if near >= 0:
-                        if near in buckets:
-                            buckets[near].append(place)
-                        else:
-                            buckets[near] = [place]
-                            group = near >> BITS
-                            groups[group] = groups.get(group, 0) | one[near & low]
-                            top |= one[group]
+                if right_rank >= 0:
+                    if right_rank in buckets:
+                        buckets[right_rank].append(start)
+                    else:
+                        buckets[right_rank] = [start]
+                        group = right_rank >> BITS
+                        groups[group] = groups.get(group, 0) | one[right_rank & low]
+                        top |= one[group]
+                if left_rank >= 0:
+                    if left_rank in buckets:
+                        buckets[left_rank].append(left)
+                    else:
+                        buckets[left_rank] = [left]
+                        group = left_rank >> BITS
+                        groups[group] = groups.get(group, 0) | one[left_rank & low]
+                        top |= one[group]
+                elif right_rank < 0:
+                    continue
                 if 0 <= right_rank <= rank or 0 <= left_rank <= rank:
                     # What comes first now may lie before the rest of this bucket.
                     if rest := bucket[done:]:
