@@ -85,11 +85,12 @@ def channel_counts(webhooks: DataFrame) -> DataFrame:
     return webhooks.groupBy("channel").agg(F.count(F.lit(1)).alias("count"))
 
 
-def message_lifecycle(webhooks: DataFrame) -> DataFrame:
+def message_lifecycle(webhooks: DataFrame, stretch_ms: int | None = None) -> DataFrame:
     """Every webhook of a message, numbered in time order (ties by ``webhook_id``).
 
     Long form: a message with very many webhooks stays many rows and is ordered
     in ranges of rows, so no task and no cell ever holds one whole message.
+    ``stretch_ms`` is taken for callers of the earlier form; ranges need no width.
     """
     rows = webhooks.select("message_id", "timestamp_ms", "webhook_id", "status")
     return positions(rows, ["message_id"], ["timestamp_ms", "webhook_id"])

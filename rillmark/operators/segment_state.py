@@ -14,18 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.functions import DAY_MS, price_of
+from rillmark.functions import DAY_MS, with_amount
 from rillmark.operators.dedup import shard_of
 from rillmark.operators.definitions import Segment
-from rillmark.operators.segments import Measures, is_cart, is_purchase, is_view, members_from, text_literal, viewed_category
+from rillmark.operators.segments import Measures, is_cart, is_purchase, is_view, members_from, purchase_price, text_literal, viewed_category
 
-AMOUNTS = T.DecimalType(38, 6)
+AMOUNTS, FINE = T.DecimalType(38, 6), T.DecimalType(38, 0)
 FACTS = T.StructType([
     T.StructField("profile_id", T.StringType()),
     T.StructField("facet", T.StringType()),
     T.StructField("item", T.StringType()),
     T.StructField("n", T.LongType()),
     T.StructField("amount", AMOUNTS),
+    T.StructField("fine", FINE),
     T.StructField("last_ms", T.LongType()),
     T.StructField("shard", T.IntegerType()),
 ])
@@ -37,26 +38,27 @@ def profile_shard(profile: Column, shards: int) -> Column:
 
 def facts_of(events: DataFrame, shards: int) -> DataFrame:
     """Facts of deduplicated events; combined in the map tasks before the shuffle."""
-    def fact(facet: str, item: Column, amount: Column) -> Column:
-        return F.struct(F.lit(facet).alias("facet"), item.alias("item"), amount.cast(AMOUNTS).alias("amount"))
+    def fact(facet: str, item: Column, amount: Column = F.lit(0), fine: Column = F.lit(None)) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), item.alias("item"), amount.cast(AMOUNTS).alias("amount"),
+                        fine.cast(FINE).alias("fine"))
 
-    no_item, no_amount = F.lit(""), F.lit(0)
+    no_item = F.lit("")
     listed = F.array_compact(F.array(
-        fact("seen", no_item, no_amount),
-        F.when(is_purchase(), fact("bought", no_item, no_amount)),
-        F.when(is_purchase(), fact("bought_at", F.col("timestamp_ms").cast("string"), price_of(F.col("attributes")))),
-        F.when(is_cart(), fact("cart", no_item, no_amount)),
-        F.when(is_view(), fact("view", viewed_category(F.col("attributes")), no_amount))))
-    rows = events.select("profile_id", "timestamp_ms", F.explode(listed).alias("_fact"))
+        fact("seen", no_item),
+        F.when(is_purchase(), fact("bought", no_item)),
+        F.when(is_purchase(), fact("bought_at", F.col("timestamp_ms").cast("string"), F.col("_amount"), F.col("_fine"))),
+        F.when(is_cart(), fact("cart", no_item)),
+        F.when(is_view(), fact("view", viewed_category(F.col("attributes"))))))
+    rows = with_amount(events, purchase_price()).select("profile_id", "timestamp_ms", F.explode(listed).alias("_fact"))
     counted = rows.groupBy("profile_id", F.col("_fact.facet").alias("facet"), F.col("_fact.item").alias("item")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_fact.amount").cast(AMOUNTS).alias("amount"),
+        F.count(F.lit(1)).alias("n"), F.sum("_fact.amount").alias("amount"), F.sum("_fact.fine").alias("fine"),
         F.max("timestamp_ms").alias("last_ms"))
     return counted.withColumn("shard", profile_shard(F.col("profile_id"), shards))
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("shard", "profile_id", "facet", "item").agg(
-        F.sum("n").alias("n"), F.sum("amount").cast(AMOUNTS).alias("amount"), F.max("last_ms").alias("last_ms"))
+        F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.sum("fine").alias("fine"), F.max("last_ms").alias("last_ms"))
 
 
 def trim_facts(facts: DataFrame, segments: Sequence[Segment]) -> DataFrame:
@@ -94,6 +96,7 @@ def members_from_facts(facts: DataFrame, segments: Sequence[Segment], as_of: int
         newest("bought") + " AS last_purchase_ms", "count_if(facet = 'view') AS categories_n",
         *[f"{total(within(days))} AS {measures.buys(days)}" for days in measures.count_days],
         *[f"{total(within(days), 'amount')} AS {measures.spend(days)}" for days in measures.value_days],
+        *[f"{total(within(days), 'fine')} AS {measures.spend_fine(days)}" for days in measures.value_days],
         *[total("facet = 'view' AND item = " + text_literal(c)) + f" AS {measures.views(c)}"
           for c in measures.categories]]))
     return members_from(rows, segments, "now")

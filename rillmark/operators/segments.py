@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.functions import DAY_MS, HOUR_MS, attribute, clock_seconds_between, price_of
-from rillmark.functions.attributes import AMOUNT_TYPE
+from rillmark.functions import DAY_MS, HOUR_MS, at_least, attribute, clock_seconds_between, with_amount
 from rillmark.operators import definitions as d
 from rillmark.operators.definitions import Segment
 from rillmark.operators.ranges import between
@@ -41,6 +40,10 @@ def _purchases(events: DataFrame, as_of: int, window_days: int) -> DataFrame:
     return between(events, as_of - window_days * DAY_MS, as_of).where(is_purchase())
 
 
+def purchase_price() -> Column:
+    return F.when(is_purchase(), F.col("attributes")["price"])
+
+
 def viewed_category(attributes: Column) -> Column:
     return F.when(is_view(), attribute(attributes, "category"))
 
@@ -53,9 +56,9 @@ def segment_purchase_count(events: DataFrame, as_of: int, min_count: int, window
 
 
 def segment_purchase_value(events: DataFrame, as_of: int, min_value: float, window_days: int) -> DataFrame:
-    spend = _purchases(events, as_of, window_days).groupBy("profile_id").agg(
-        F.sum(price_of(F.col("attributes"))).alias("_spend"))
-    return spend.where(F.col("_spend") >= _amount(min_value)).select("profile_id")
+    priced = with_amount(_purchases(events, as_of, window_days), F.col("attributes")["price"])
+    spend = priced.groupBy("profile_id").agg(F.sum("_amount").alias("_amount"), F.sum("_fine").alias("_fine"))
+    return spend.where(at_least("_amount", "_fine", min_value)).select("profile_id")
 
 
 def segment_cart_abandon(events: DataFrame, as_of: int, min_days: int) -> DataFrame:
@@ -103,10 +106,6 @@ def _last_or_epoch(condition: Column) -> Column:
     return F.coalesce(F.max(F.when(condition, F.col("timestamp_ms"))), F.lit(0).cast("long"))
 
 
-def _amount(value: float) -> Column:
-    return F.lit(repr(value)).cast(AMOUNT_TYPE)
-
-
 # All definitions at once -----------------------------------------------------------------
 
 class Measures:
@@ -123,14 +122,19 @@ class Measures:
 
     @staticmethod
     def spend(days: int) -> str:
+        """The column of the spend to six places; ``spend_fine`` names that of the places beyond."""
         return f"spend_{days}d"
 
+    @staticmethod
+    def spend_fine(days: int) -> str:
+        return f"spend_fine_{days}d"
+
     def views(self, category: str) -> str:
         return f"views_{self.categories.index(category)}"
 
     @property
     def windows(self) -> list[str]:
-        return [*map(self.buys, self.count_days), *map(self.spend, self.value_days)]
+        return [*map(self.buys, self.count_days), *map(self.spend, self.value_days), *map(self.spend_fine, self.value_days)]
 
     @property
     def longest_days(self) -> int:
@@ -160,7 +164,8 @@ def condition(segment: Segment, measures: Measures, now: str) -> str:
     if family == d.PURCHASE_COUNT:
         return f"{measures.buys(segment.window_days)} >= {segment.min_count}"
     if family == d.PURCHASE_VALUE:
-        return f"{measures.spend(segment.window_days)} >= CAST('{segment.min_value!r}' AS {AMOUNT_TYPE})"
+        days = segment.window_days
+        return at_least(measures.spend(days), measures.spend_fine(days), segment.min_value)
     if family == d.CART_ABANDON:
         return f"last_cart_ms > last_purchase_ms AND {idle}"
     if family == d.CATEGORY_VIEWS:
@@ -191,9 +196,9 @@ def profile_measures(events: DataFrame, segments: Sequence[Segment], as_of: int,
     shuffle carries only a few rows per profile.
     """
     measures = Measures(segments)
-    rows = _until(events, as_of).select(
+    rows = with_amount(_until(events, as_of).select(
         "profile_id", "event_type", "timestamp_ms", viewed_category(F.col("attributes")).alias("_category"),
-        F.when(is_purchase(), price_of(F.col("attributes"))).alias("_price"))
+        purchase_price().alias("_price")), F.col("_price"))
 
     def since(days: int) -> str:
         return f"event_type = 'purchase' AND timestamp_ms >= {as_of - days * DAY_MS}L"
@@ -205,7 +210,8 @@ def profile_measures(events: DataFrame, segments: Sequence[Segment], as_of: int,
         "max(CASE WHEN event_type = 'add_to_cart' THEN timestamp_ms END) AS last_cart_ms",
         "max(CASE WHEN event_type = 'purchase' THEN timestamp_ms END) AS last_purchase_ms",
         *[f"count_if({since(days)}) AS {measures.buys(days)}" for days in measures.count_days],
-        *[f"sum(CASE WHEN {since(days)} THEN _price END) AS {measures.spend(days)}" for days in measures.value_days]]))
+        *[f"sum(CASE WHEN {since(days)} THEN _amount END) AS {measures.spend(days)}" for days in measures.value_days],
+        *[f"sum(CASE WHEN {since(days)} THEN _fine END) AS {measures.spend_fine(days)}" for days in measures.value_days]]))
     is_category = "_category != ''" if ignore_missing else "_category IS NOT NULL"
     return fine.groupBy("profile_id").agg(*map(F.expr, [
         "sum(events_n) AS events_n",

@@ -7,24 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.functions import DAY_MS, HOUR_MS, price_of
+from rillmark.functions import DAY_MS, FINE_TYPE, HOUR_MS, SPEND_TYPE, with_amount
 from rillmark.operators.definitions import Segment
 from rillmark.operators.scan import STRETCH, null_safe_join, positions, previous, running
-from rillmark.operators.segments import Measures, candidate_segments, is_cart, is_purchase, viewed_category
+from rillmark.operators.segments import Measures, candidate_segments, is_cart, is_purchase, purchase_price, viewed_category
 
-SUM_TYPE = "decimal(38,6)"
+# What is summed per window: the column of a row, the prefix of its running sums and their type.
+WINDOWED = {"_buys": ("buys", "long"), "_amount": ("spend", SPEND_TYPE), "_fine": ("spend_fine", FINE_TYPE)}
 
 
 def _none() -> Column:
     return F.lit(0).cast("long")
 
 
-def _no_spend() -> Column:
-    return F.lit(0).cast(SUM_TYPE)
+def _windows(days: Sequence[int]) -> dict[str, str]:
+    """The columns of running sums and their types."""
+    return {f"{kind}_{day}d": of_type for day in days for kind, of_type in WINDOWED.values()}
 
 
-def profile_timeline(events: DataFrame) -> DataFrame:
-    """Events of each profile numbered by ``(timestamp_ms, event_id)``."""
+def profile_timeline(events: DataFrame, stretch_ms: int | None = None) -> DataFrame:
+    """Events of each profile numbered by ``(timestamp_ms, event_id)``.
+
+    ``stretch_ms`` is taken for callers of the earlier form; ranges of rows need no width.
+    """
     rows = events.select("profile_id", "event_id", "timestamp_ms")
     return positions(rows, ["profile_id"], ["timestamp_ms", "event_id"])
 
@@ -36,16 +41,16 @@ def _entering_and_leaving(own: Column, days: Sequence[int], rest: Sequence[Colum
     taking it off at t + window + 1 ms turns a trailing window into a running sum.
     """
     def entry(at: Column, is_own: bool, leaving: int | None) -> Column:
-        def windowed(value: str, none: Column, day: int) -> Column:
+        def windowed(value: str, day: int) -> Column:
             if leaving is None:
                 return F.col(value)
-            return -F.col(value) if day == leaving else none
+            return -F.col(value) if day == leaving else F.lit(0)
 
         return F.struct(
             at.alias("at"), F.lit(is_own).alias("own"),
             *[c if leaving is None else F.lit(None).alias(name) for name, c in rest],
-            *[windowed("_buys", _none(), day).cast("long").alias(f"buys_{day}d") for day in days],
-            *[windowed("_spend", _no_spend(), day).cast(SUM_TYPE).alias(f"spend_{day}d") for day in days])
+            *[windowed(value, day).cast(of_type).alias(f"{kind}_{day}d")
+              for value, (kind, of_type) in WINDOWED.items() for day in days])
 
     leaves = [entry(own + (day * DAY_MS + 1), False, day) for day in days]
     first = entry(own, True, None)
@@ -62,12 +67,11 @@ def rolling_purchases(events: DataFrame, days: Sequence[int] = (30,), stretch_ms
     so a stretch is bounded by its milliseconds and not by the number of events.
     """
     purchases = events.where(is_purchase())
-    points = purchases.groupBy("profile_id", "timestamp_ms").agg(
-        F.count(F.lit(1)).alias("_buys"), F.sum(price_of(F.col("attributes"))).cast(SUM_TYPE).alias("_spend"))
+    points = with_amount(purchases, purchase_price()).groupBy("profile_id", "timestamp_ms").agg(
+        F.count(F.lit(1)).alias("_buys"), F.sum("_amount").alias("_amount"), F.coalesce(F.sum("_fine"), F.lit(0)).alias("_fine"))
     moves = points.select("profile_id", F.explode(
         _entering_and_leaving(F.col("timestamp_ms"), days, [])).alias("_move")).select("profile_id", "_move.*")
-    sums = [f"{kind}_{day}d" for day in days for kind in ("buys", "spend")]
-    totals = running(moves, ["profile_id"], "at", stretch_ms, sums=sums).where("own").select(
+    totals = running(moves, ["profile_id"], "at", stretch_ms, sums=list(_windows(days))).where("own").select(
         "profile_id", F.col("at").alias("timestamp_ms"),
         *[F.col(f"run_buys_{day}d").cast("long").alias(f"n_{day}d") for day in days],
         *[F.col(f"run_spend_{day}d").alias(f"value_{day}d") for day in days])
@@ -85,11 +89,12 @@ def membership_timeline(events: DataFrame, segments: Sequence[Segment], stretch_
     measures = Measures(segments)
     days = sorted({*measures.count_days, *measures.value_days})
     category = viewed_category(F.col("attributes"))
-    moments = events.groupBy("profile_id", "timestamp_ms").agg(
+    moments = with_amount(events, purchase_price()).groupBy("profile_id", "timestamp_ms").agg(
         F.min("event_id").alias("event_id"),
         F.count(F.lit(1)).alias("events_n"),
         F.count_if(is_purchase()).alias("_buys"),
-        F.coalesce(F.sum(F.when(is_purchase(), price_of(F.col("attributes")))), _no_spend()).cast(SUM_TYPE).alias("_spend"),
+        F.sum("_amount").alias("_amount"),
+        F.coalesce(F.sum("_fine"), F.lit(0)).alias("_fine"),
         F.coalesce(F.max(F.when(is_cart(), F.col("timestamp_ms"))), _none()).alias("last_cart_ms"),
         F.coalesce(F.max(F.when(is_purchase(), F.col("timestamp_ms"))), _none()).alias("last_purchase_ms"),
         *[F.count_if(category == c).alias(measures.views(c)) for c in measures.categories])
@@ -105,10 +110,10 @@ def membership_timeline(events: DataFrame, segments: Sequence[Segment], stretch_
                    .withColumn("own", F.lit(False)))
     rows = moves.unionByName(first_views, allowMissingColumns=True)
 
-    windows = [f"{kind}_{day}d" for day in days for kind in ("buys", "spend")]
+    windows = _windows(days)
     sums = ["events_n", "_buys", "new_categories", *views, *windows]
     counted = rows.fillna(0, subset=["events_n", "_buys", *views]).withColumns(
-        {w: F.coalesce(F.col(w), _none() if w.startswith("buys") else _no_spend()) for w in windows})
+        {w: F.coalesce(F.col(w), F.lit(0).cast(of_type)) for w, of_type in windows.items()})
     state = running(counted, ["profile_id"], "at", stretch_ms, sums=sums,
                     highs=["last_cart_ms", "last_purchase_ms"]).where("own")
     named = state.select(
