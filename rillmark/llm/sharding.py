@@ -12,8 +12,9 @@ Defined results: a null text has no bytes and sorts like a text of its own; null
 told apart by their row number; fewer rows than shards leave shards empty; an empty table gives an empty result. Input columns
 named like an output column are replaced.
 
-Scale: the keys are written once and read once per round; a round returns one row per probe, ``PROBES`` per splitter. Slots are
-numbered in pieces of about ``piece_rows`` rows, cut by the same search, so a shard is never ordered as a whole by one task.
+Scale: the keys are written once and read once per round; a round returns one row per probe, ``PROBES`` per splitter, so what
+reaches the driver grows with the shards and not with the rows. Slots are numbered in ranges of about as many rows each, so a
+shard is never ordered as a whole by one task.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rillmark.llm.common import free_name, quoted
+from rillmark.operators.scan import positions
 from rillmark.session import materialise
 
 #: Probes per open splitter and round.
@@ -144,35 +145,21 @@ def place(keys: DataFrame, cuts: list[bytes], name: str, key: str = "sort_key")
     return keys.withColumn(name, placed(F.col(key)))
 
 
-def _cut(keys: DataFrame, shards: int, tolerance: float, piece_rows: int) -> tuple[list[bytes], list[bytes]]:
-    """Splitters of the shards, and these with finer ones, which only bound what one task orders and need not be even."""
-    cuts = splitters(keys, shards, tolerance)
-    pieces = max(4 * shards, -(-keys.count() // piece_rows))
-    return cuts, sorted({*cuts, *splitters(keys, pieces, 1.0)})
-
-
-def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.02, doc_id: str = "doc_id", text: str = "text",
-          piece_rows: int = 1_000_000) -> DataFrame:
+def shard(df: DataFrame, shards: int = 8, tolerance: float = 0.02, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` (from 0), ``slot`` (from 0 in key order within the shard)."""
     keys = materialise(keyed(df, doc_id, text), "shard-keys")
-    cuts, every = _cut(keys, shards, tolerance, piece_rows)
-    dealt = place(place(keys, cuts, "shard"), every, "piece")
-    counts = dealt.groupBy("shard", "piece").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = materialise(counts.select("piece", F.coalesce(before, F.lit(0)).alias("offset")), "shard-offsets")
-    slot = F.row_number().over(Window.partitionBy("piece").orderBy("sort_key")) - 1
-    ordered = dealt.withColumn("slot", slot)
-    return ordered.join(offsets, "piece").select("doc_id", "size", "text_crc32", "shard",
-                                                 (F.col("offset") + F.col("slot")).cast("long").alias("slot"))
-
-
-def write_shards(df: DataFrame, path: str, shards: int = 8, tolerance: float = 0.02, doc_id: str = "doc_id", text: str = "text",
-                 piece_rows: int = 1_000_000) -> None:
+    dealt = place(keys, splitters(keys, shards, tolerance), "shard")
+    numbered = positions(dealt, ["shard"], ["sort_key"])
+    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("position") - 1).cast("long").alias("slot"))
+
+
+def write_shards(df: DataFrame, path: str, shards: int = 8, tolerance: float = 0.02, doc_id: str = "doc_id",
+                 text: str = "text") -> None:
     """Write the rows of ``df`` to ``path/shard=n/``, in key order within each file, with one exchange of the rows."""
     keys = materialise(keyed(df, doc_id, text), "shard-keys")
-    cuts, every = _cut(keys, shards, tolerance, piece_rows)
-    names = {name: free_name(df, name) for name in ("sort_key", "shard", "piece")}
+    names = {name: free_name(df, name) for name in ("sort_key", "shard")}
     rows = df.withColumn(names["sort_key"], sort_key(doc_id, text))
-    dealt = place(place(rows, cuts, names["shard"], names["sort_key"]), every, names["piece"], names["sort_key"])
-    (dealt.repartition(names["piece"]).sortWithinPartitions(names["shard"], names["sort_key"])
-     .drop(names["sort_key"], names["piece"]).write.partitionBy(names["shard"]).parquet(path))
+    dealt = place(rows, splitters(keys, shards, tolerance), names["shard"], names["sort_key"])
+    order = [names["shard"], names["sort_key"]]
+    (dealt.repartitionByRange(*order).sortWithinPartitions(*order).drop(names["sort_key"])
+     .write.partitionBy(names["shard"]).parquet(path))

@@ -67,11 +67,54 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(share)
 
 
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<shift int, place int>>: the anchors that occur once in each of two texts, by shift and place.
+
+    ``place`` is where the anchor stands in ``a``, ``shift`` how many words further on it stands in ``b``. Both lists of
+    anchors are sorted together by hash, so the work grows with their length and not with its square.
+    """
+
+    def tagged(own: Column, side: int) -> Column:
+        return F.transform(own, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["place"].alias("place")))
+
+    def paired(x: Column) -> Column:
+        def alone(i: Column) -> Column:
+            here, there = F.get(x, i), F.get(x, i + 1)
+            same = (here["hash"] == there["hash"]) & (here["side"] != there["side"])
+            return same & ~here["hash"].eqNullSafe(F.get(x, i - 1)["hash"]) & ~here["hash"].eqNullSafe(F.get(x, i + 2)["hash"])
+
+        found = F.filter(F.sequence(F.lit(0), F.size(x) - 2), alone)
+        return F.sort_array(F.transform(found, lambda i: F.struct(
+            (F.get(x, i + 1)["place"] - F.get(x, i)["place"]).alias("shift"), F.get(x, i)["place"].alias("place"))))
+
+    none = F.array().cast("array<struct<shift:int,place:int>>")
+    return let(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), lambda x: F.when(F.size(x) >= 2, paired(x)).otherwise(none))
+
+
+def passages(a: Column, b: Column) -> Column:
+    """array<struct<shift int, first int, last int, anchors int>>: what two texts share, one entry per shift.
+
+    ``first`` and ``last`` are words of ``a``, the latter included; a passage moved as a whole keeps one shift, however
+    short it is beside its texts.
+    """
+
+    def grouped(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: ~F.get(m, i)["shift"].eqNullSafe(F.get(m, i - 1)["shift"]))
+
+        def entry(start: Column, end: Column) -> Column:
+            return F.struct(F.get(m, start)["shift"].alias("shift"), F.get(m, start)["place"].alias("first"),
+                            (F.get(m, end - 1)["place"] + (K - 1)).alias("last"), (end - start).cast("int").alias("anchors"))
+
+        return let(starts, lambda s: F.transform(s, lambda start, n: entry(start, F.coalesce(F.get(s, n + 1), F.size(m)))))
+
+    none = F.array().cast("array<struct<shift:int,first:int,last:int,anchors:int>>")
+    return let(matches(a, b), lambda m: F.when(F.size(m) > 0, grouped(m)).otherwise(none))
+
+
 def offset(a: Column, b: Column) -> Column:
-    """Words by which the first common anchor stands further on in ``b`` than in ``a``; null without one."""
-    in_b = F.transform(b, lambda y: y["hash"])
-    first = F.filter(a, lambda x: F.array_contains(in_b, x["hash"]))[0]
-    return b[F.array_position(in_b, first["hash"]).cast("int") - 1]["place"] - first["place"]
+    """Words by which most common anchors stand further on in ``b`` than in ``a``; null without one."""
+    ranked = F.transform(passages(a, b), lambda p: F.struct(p["anchors"], -F.abs(p["shift"]), p["shift"]))
+    return let(F.array_max(ranked), lambda best: best["shift"])
 
 
 def with_next(df: DataFrame, doc_id: str, *columns: str) -> DataFrame:

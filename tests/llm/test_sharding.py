@@ -4,9 +4,11 @@ import random
 import zlib
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from rillmark.llm import sharding
+from rillmark.llm.queries import op8_sharding
 
 
 def check(rows, shards, tolerance, largest):
@@ -61,3 +63,38 @@ def test_histogram_orders_high_bytes(spark):
     df = spark.createDataFrame([(bytearray(key), 1) for key in keys], "sort_key binary, size long")
     bins = sharding._histogram(df, sorted(keys))
     assert [bins[at][1] for at in range(1, len(keys) + 1)] == [1] * len(keys)
+
+
+def test_query_against_a_plain_sort(spark):
+    docs = {row["doc_id"]: row["text"] for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+    def key(doc):
+        text = docs[doc]
+        hashed = 0 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return (hashed - (1 << 64) if hashed >= 1 << 63 else hashed), doc
+
+    found = {row["doc_id"]: row for row in op8_sharding(spark, "/root/testdata/sf0.001").collect()}
+    assert found.keys() == docs.keys()
+    sizes, filled, shard = [0] * 8, [0] * 8, 0
+    for doc in sorted(docs, key=key):
+        row, data = found[doc], (docs[doc] or "").encode()
+        assert (row["size"], row["text_crc32"], row["law"], row["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        assert row["shard"] >= shard and row["slot"] == filled[row["shard"]]
+        shard = row["shard"]
+        filled[shard] += 1
+        sizes[shard] += row["size"]
+    # Each cut is off by half the tolerance, or by half of one row that it cannot cut.
+    goal, most = sum(sizes) / 8, max(row["size"] for row in found.values())
+    assert all(abs(size - goal) <= max(0.02 * goal, most) for size in sizes)
+
+
+def test_probes_do_not_grow_with_the_rows(spark, monkeypatch):
+    asked, histogram = [], sharding._histogram
+    monkeypatch.setattr(sharding, "_histogram", lambda keys, probes: asked.append(len(probes)) or histogram(keys, probes))
+    for rows in (2_000, 200_000):
+        asked.clear()
+        df = spark.range(rows).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        out = sharding.shard(df, 3).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"),
+                                                         F.max("slot").alias("last")).collect()
+        assert len(out) == 3 and all(row["n"] == row["slots"] == row["last"] + 1 for row in out)
+        assert max(asked) <= 2 * (sharding.PROBES + 1)

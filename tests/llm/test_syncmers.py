@@ -1,7 +1,12 @@
 """Closed syncmers: context-free anchors, the order of documents, likeness."""
 
 import hashlib
+import random
+import re
+import struct
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rillmark.llm import common, syncmers
@@ -90,3 +95,77 @@ def test_short_texts_have_an_anchor(spark):
     df = spark.createDataFrame([(texts[60 * 4 + n], texts[60 * 5 + n]) for n in range(60)], "a string, b string")
     alike = syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b")))
     assert df.select(alike.alias("l")).where("l = 1").isEmpty()
+
+
+def signed(number):
+    return number - (1 << 64) if number >= 1 << 63 else number
+
+
+def plain_anchors(text):
+    """The closed syncmers of a text as a loop: (place, hash)."""
+    words = [word.encode() for word in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+    def chained(parts):
+        seed = 42
+        for part in parts:
+            seed = xxhash.xxh64_intdigest(part, seed)
+        return signed(seed)
+
+    inner = [chained(words[i:i + 2]) for i in range(len(words) - 1)]
+    found = []
+    for i in range(len(words) - 4):
+        own = inner[i:i + 4]
+        if min(own) in (own[0], own[3]):
+            found.append((i, chained([struct.pack("<q", own[part]) for part in (0, 2, 3)]) >> 32))
+    return found or ([(0, signed(xxhash.xxh64_intdigest(b" ".join(words), 42)) >> 32)] if words else [])
+
+
+def plain_likeness(a, b):
+    least = sorted(set(a) | set(b))[:128]
+    return sum(one in a and one in b for one in least) / len(least) if least else 1.0
+
+
+def test_query_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.desc("doc_id")).collect()
+    found = {row["doc_id"]: row for row in op10_syncmers(spark, "/root/testdata/sf0.001").collect()}
+    texts = [doc["text"] or "" for doc in docs]
+    sketch = lambda text: sorted({h for _, h in plain_anchors(text)})[:128]
+    shown = lambda own: "".join(f"{h & 0xFFFFFFFF:08x}" for h in own)
+    assert len(found) == len(docs)
+    for doc, text, after in zip(docs, texts, texts[1:] + texts[:1]):
+        row, third = found[doc["doc_id"]], len(text) // 3
+        own, edited, following = sketch(text), sketch(text[:len(text) - third] + after[:third]), sketch(after)
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (shown(own), shown(edited))
+        assert row["near_edited"] == pytest.approx(plain_likeness(own, edited))
+        assert row["near_next"] == pytest.approx(plain_likeness(own, following))
+
+
+def plain_passages(a, b):
+    places = [{}, {}]
+    for side, own in zip(places, (a, b)):
+        for place, h in plain_anchors(own):
+            side.setdefault(h, []).append(place)
+    shifts = {}
+    for h, first in places[0].items():
+        second = places[1].get(h, [])
+        if len(first) == len(second) == 1:
+            shifts.setdefault(second[0] - first[0], []).append(first[0])
+    return [(shift, min(own), max(own) + 4, len(own)) for shift, own in sorted(shifts.items())]
+
+
+def test_passages_are_found_by_place(spark):
+    rng = random.Random(11)
+    words = lambda n, name: [f"{name}{rng.randrange(10 ** 9)}" for _ in range(n)]
+    shared, twice = words(200, "s"), words(40, "t")
+    long_a = words(9000, "a") + shared + words(9000, "a")
+    long_b = words(200, "b") + shared + words(17000, "b")
+    pairs = [(long_a, long_b), (shared + twice + shared, shared), (twice + shared, shared + twice), (shared, words(50, "c")),
+             (shared, shared), ([], shared), ([], []), (["x"], ["x"]), (["x"], ["y"])]
+    pairs = [(" ".join(a), " ".join(b)) for a, b in pairs] + [(None, "x")]
+    df = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "n int, a string, b string")
+    out = df.select("n", syncmers.passages(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).alias("p")).collect()
+    for row in out:
+        assert [tuple(one) for one in row["p"]] == plain_passages(*pairs[row["n"]])
+    (only,) = next(row["p"] for row in out if row["n"] == 0)
+    # The likeness of these two is 0; the passage is found whole but for a few words at its ends.
+    assert only["shift"] == 200 - 9000 and only["last"] - only["first"] >= 185
