@@ -311,7 +311,12 @@ class Aligner:
             self.forget(REMEMBERED // 2)
         found = [list(map(self.known.get, words)) for words in texts]
         if new := {word: None for words, places in zip(texts, found) if None in places for word, at in zip(words, places) if at is None}:
-            self._learn([*new])
+            # White space at an edge of a piece may merge with a neighbour's, so such pieces are encoded by themselves.
+            if inner := [word for word in new if _inner(word)]:
+                self._learn(inner)
+            for word in new:
+                if not _inner(word):
+                    self._learn([word])
             found = [list(map(self.known.get, words)) if None in places else places for words, places in zip(texts, found)]
         out = [self._gathered(places) for places in found]
         for word in new:

@@ -128,3 +128,21 @@ def test_odd_rows_long_texts_and_rare_pairs(spark, libraries):
             "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
         assert sorted(map(tuple, got.collect()), key=str) == expected(libraries, rows)
     assert alignment.translation(df.limit(0), A, B).count() == 0
+
+
+def test_texts_with_white_space_at_their_edges_do_not_change_their_neighbours(libraries):
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(1, 9))) + rng.choice(["", " ", "  ", "\n", " \n "]) for _ in range(3)]
+        aligner = Aligner(A, B)  # all words are new, so they are encoded together
+        for text, closed in zip(texts, aligner.closed([aligner.words(text) for text in texts])):
+            want = plain(libraries, text)
+            assert (closed is None) == (want is None), repr(text)
+            assert closed is None or parts(Fragment(True, alignment.Open.none(), closed, alignment.Open.none())) == want, repr(texts)
+
+
+def test_rows_with_white_space_at_their_edges(spark, libraries):
+    rows = list(enumerate(["ends so ", "word after", "  begins", "two  ", " \n", "next\n", "\tlast", " ", "ends so ", "x   ", "more words"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = alignment.translation(df, A, B).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    assert sorted(map(tuple, got.collect()), key=str) == expected(libraries, rows)
