@@ -42,14 +42,16 @@ def _last_changes(log: DataFrame) -> DataFrame:
 
 
 def read_membership(spark: SparkSession, path: str, before: int | None = None,
-                    shards: Sequence[int] | None = None) -> DataFrame:
+                    shards: Sequence[int] | None = None, tasks: int = 1) -> DataFrame:
     """Current pairs; filter by segment for its members or by profile for its segments.
 
-    ``shards`` limits the reading to the shards of the profiles in question.
+    ``shards`` limits the reading to the shards of the profiles in question; with several ``tasks`` changes are dealt to that many.
     """
     log = read_log(spark, path, CHANGES, before)
     if shards is not None:
         log = log.where(F.col("shard").isin(list(shards)))
+    if tasks > 1:
+        log = log.repartition(tasks, "shard", "segment_id", "profile_id")
     return _last_changes(log).where(F.col("change") == "added").select("segment_id", "profile_id")
 
 

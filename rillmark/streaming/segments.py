@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rillmark.operators.definitions import Segment
 from rillmark.operators.segment_state import FACTS, facts_of, members_from_facts, merge_facts, trim_facts
 from rillmark.operators.segments import membership_delta
+from rillmark.session import dealt_by_rows, task_count
 from rillmark.sinks.logs import append_batch, compact_log, fixed_shards, read_log
 from rillmark.sinks.membership import CHANGES, compact_membership, read_membership, write_membership
 from rillmark.streaming.running import each_batch
@@ -34,6 +35,11 @@ def _changes_path(path: str) -> str:
     return f"{path}/membership"
 
 
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of both logs, from the footers of their files."""
+    return read_log(spark, _facts_path(path), FACTS).count() + read_log(spark, _changes_path(path), CHANGES).count()
+
+
 def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: Sequence[Segment], path: str,
                shards: int | None = None) -> None:
     """Add one micro-batch and write the membership changes of the profiles in it.
@@ -58,7 +64,8 @@ def fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, segments: S
     change = batch_id * _STEP
     before = read_membership(spark, _changes_path(path), change, in_shards).join(
         touched.select("profile_id"), "profile_id", "left_semi")
-    write_membership(membership_delta(before, after), _changes_path(path), change, shards)
+    with dealt_by_rows(spark, _rows(spark, path)):
+        write_membership(membership_delta(before, after), _changes_path(path), change, shards)
 
 
 def incremental_segments(events: DataFrame, segments: Sequence[Segment], path: str, checkpoint: str,
@@ -77,7 +84,7 @@ def incremental_segments(events: DataFrame, segments: Sequence[Segment], path: s
 
 def current_segments(spark: SparkSession, path: str) -> DataFrame:
     """``(segment_id, profile_id)`` as last decided."""
-    return read_membership(spark, _changes_path(path))
+    return read_membership(spark, _changes_path(path), tasks=task_count(read_log(spark, _changes_path(path), CHANGES).count()))
 
 
 def newest_event(spark: SparkSession, path: str) -> int | None:
@@ -100,11 +107,13 @@ def finalize_segments(spark: SparkSession, path: str, segments: Sequence[Segment
     if last is not None and (last + 1) % _STEP == 0:
         raise RuntimeError("too many final passes between two micro-batches")
     delta = membership_delta(current_segments(spark, path), after)
-    write_membership(delta, _changes_path(path), 1 if last is None else last + 1)
+    with dealt_by_rows(spark, _rows(spark, path)):
+        write_membership(delta, _changes_path(path), 1 if last is None else last + 1)
     return current_segments(spark, path)
 
 
 def compact_segments(spark: SparkSession, path: str, segments: Sequence[Segment]) -> None:
     """Merge both logs, dropping purchases no window reaches any more.  Run between micro-batches."""
-    compact_log(spark, _facts_path(path), FACTS, lambda log: trim_facts(merge_facts(log), segments), "shard")
-    compact_membership(spark, _changes_path(path))
+    with dealt_by_rows(spark, _rows(spark, path)):
+        compact_log(spark, _facts_path(path), FACTS, lambda log: trim_facts(merge_facts(log), segments), "shard")
+        compact_membership(spark, _changes_path(path))

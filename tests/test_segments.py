@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 
 import pytest
 from helpers import DAY, column, holds, members, pairs, random_events, storefront
@@ -7,8 +8,10 @@ from rillmark.operators import definitions as d
 from rillmark.operators import segments, timeline
 from rillmark.operators.definitions import Segment, segment_definitions, standard_segments
 from rillmark.operators.reconcile import diff_sets, diff_totals
+from rillmark.session import dealt_by_rows
 from rillmark.sinks.logs import merged_upto
 from rillmark.sinks.membership import compact_membership, read_membership, write_membership
+from rillmark.streaming import segments as streaming_segments
 from rillmark.streaming.segments import (
     compact_segments, current_segments, finalize_segments, fold_batch, incremental_segments,
 )
@@ -235,3 +238,29 @@ def test_membership_store(spark, path):
     assert set.union(*[pairs(read_membership(spark, path, shards=[k])) for k in range(2)]) == {("s", "p2")}
     pruned = read_membership(spark, path, shards=[1])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [shard" in pruned or "PartitionFilters: [isnotnull(shard" in pruned
+
+
+def test_shuffles_of_the_logs_are_dealt_by_rows(spark, path, monkeypatch):
+    seen, key = [], "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+
+    @contextmanager
+    def dealt(session, rows):
+        with dealt_by_rows(session, rows, most=20):
+            seen.append((rows, int(session.conf.get(key))))
+            yield
+
+    monkeypatch.setattr(streaming_segments, "dealt_by_rows", dealt)
+    rows = [(f"e{n}", f"p{n % 40}", "purchase" if n % 3 else "page_view", NOW - n * DAY // 7, {"price": str(n), "category": "books"})
+            for n in range(300)]
+    rows += [("n1", None, "purchase", NOW, {"price": "9"})]
+    for batch_id, part in enumerate([rows[:150], rows[150:]]):
+        fold_batch(spark, storefront(spark, part), batch_id, standard_segments(), path)
+    compact_segments(spark, path, standard_segments())
+    got = finalize_segments(spark, path, standard_segments(), NOW)
+    assert len(seen) == 4 and seen[0][0] >= 150 and all(tasks == max(int(before), -(-count // 20)) for count, tasks in seen)
+    assert seen[1][1] > seen[0][1] > int(before) == int(spark.conf.get(key))
+    full = segments.evaluate_segments(storefront(spark, rows[:-1]), standard_segments(), NOW)
+    assert pairs(got.where("profile_id is not null")) == pairs(full)
+    dealt_out = read_membership(spark, f"{path}/membership", tasks=7)
+    assert dealt_out.rdd.getNumPartitions() == 7 and sorted(map(str, dealt_out.collect())) == sorted(map(str, got.collect()))
