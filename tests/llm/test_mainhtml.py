@@ -154,6 +154,77 @@ def test_random_hosts_like_a_plain_search(spark):
     assert 0 < sum(map(bool, want.values()))
 
 
+def test_hosts(spark):
+    urls = ["http://Host.example/a", " \u3000https://u:p@H:80\n", "http://b.c \x1f", "ftp+x://É.x?y", "//no", "no", "", None, "http://a\tb/c", "a://"]
+    df = spark.createDataFrame([(n, url) for n, url in enumerate(urls)], "n long, url string")
+    found = [row["host"] for row in df.select("n", mainhtml.host_of(df["url"]).alias("host")).orderBy("n").collect()]
+    assert found == ["host.example", "h", "b.c", "é.x", "", "", "", "", "a\tb", ""]
+
+
+NOTICE = "All rights are reserved by the famous kettle shop of our town"
+
+
+def decided(spark, rows, tokens=mainhtml.TOKENS):
+    parsed = mainhtml.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {row["page_id"]: row["text"] for row in mainhtml.decide(parsed, tokens).collect()}
+
+
+def test_arrays_decide_the_prose_of_pages_without_boxes(spark):
+    title = "The long title of one article that all menus of the host show"
+    rows = [(n, "http://h/", f"<article><p>{words(n)}</p><p>{NOTICE}</p></article><nav>{title}</nav><footer>{NOTICE}</footer>") for n in range(9)]
+    rows += [(20, "http://h/", f"<article><h1>{title}</h1><p>{words(20)}</p><p>{NOTICE} indeed</p></article><nav>{title}</nav><footer>{NOTICE}</footer>"),
+             (21, "http://h/", f"<article><p>{words(21)}</p><p>{NOTICE}</p></article>")]
+    want = {**{n: words(n) for n in range(9)}, 20: f"{title}\n{words(20)}\n{NOTICE} indeed", 21: f"{words(21)}\n{NOTICE}"}
+    pages = spark.createDataFrame(rows + rows[:4], "page_id long, url string, html string")
+    found = [(row["page_id"], row["text"]) for row in mainhtml.main_text(pages).collect()]
+    assert sorted(found) == sorted([*want.items(), *((n, want[n]) for n in range(4))])
+    assert decided(spark, rows) == decided(spark, rows, 40) == decided(spark, rows, 10) == want
+
+
+def test_sentences_that_articles_and_adverts_share_stay(spark):
+    rows = [(n, "http://h/", f'<div class="ad">{ADVERT if n % 3 else words(n + 99)}</div><article><p>{words(n)}</p>'
+             f'<p>{ADVERT if n % 2 else words(n + 50)}</p></article>') for n in range(40)]
+    assert decided(spark, rows) == decided(spark, rows, 50) == {n: f"{words(n)}\n{ADVERT if n % 2 else words(n + 50)}" for n in range(40)}
+
+
+def test_random_prose_like_a_plain_search(spark):
+    rng = np.random.default_rng(5)
+    pool = [NOTICE, " ".join(NOTICE.split()[:9]), f"{NOTICE} {ADVERT}", ADVERT, " ".join(NOTICE.split()[2:])]
+
+    def some(least, most):
+        return [pool[min(at, 4)] if at < 5 or rng.random() < 0.2 else words(rng.integers(0, 40), 9)
+                for at in rng.choice(8, rng.integers(least, most), p=[0.4, 0.1, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]).tolist()]
+
+    rows, want, lost = [], {}, 0
+    for host in range(4):
+        pages = {(host * 100 + n): (some(1, 4), some(1, 5)) for n in range(5 + 12 * host)}
+        for n, (outside, prose) in pages.items():
+            footers, article = "".join(f"<footer>{one}</footer>" for one in outside), "".join(f"<p>{one}</p>" for one in prose)
+            rows.append((n, f"http://h{host}/", f"{footers}<article>{article}</article>"))
+
+        def runs(text):
+            tokens = text.split()
+            return [tuple(tokens[at:at + mainhtml.RUN]) for at in range(len(tokens) - mainhtml.RUN + 1)]
+
+        twice, distinct = {}, {(tuple(outside), tuple(prose)) for outside, prose in pages.values()}
+        for outside, prose in distinct:
+            own = set(runs(" ".join(outside)))
+            for run in {run for one in prose if runs(one)[0] in own for run in runs(one)} & own:
+                twice[run] = twice.get(run, 0) + 1
+        for n, (outside, prose) in pages.items():
+            own, kept = set(runs(" ".join(outside))), []
+            for one in prose:
+                marks = [False] * len(one.split())
+                for at, run in enumerate(runs(one)):
+                    if runs(one)[0] in own and run in own and twice.get(run, 0) >= mainhtml.PAGES and 2 * twice[run] > len(distinct):
+                        marks[at:at + mainhtml.RUN] = [True] * mainhtml.RUN
+                kept += [] if all(marks) else [one]
+            want[n] = "\n".join(kept)
+            lost += len(prose) - len(kept)
+    assert decided(spark, rows) == decided(spark, rows, 150) == decided(spark, rows, 30) == want
+    assert lost > 10
+
+
 def test_query(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     found = {row["page_id"]: row for row in op9_main_text(spark, "/root/testdata/sf0.001").collect()}
